@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import quality_rules, simhash
 
 QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op8_simhash": simhash.op8_simhash,
 }
 ORACLES = {
     "op4_quality_rules": quality_rules.ORACLE,
