@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality_rules, simhash
+from . import fingerprints, quality_rules, simhash
 
 QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op8_simhash": simhash.op8_simhash,
+    "op9_fingerprints": fingerprints.op9_fingerprints,
 }
 ORACLES = {
     "op4_quality_rules": quality_rules.ORACLE,
