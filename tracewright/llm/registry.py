@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import fingerprints, quality_rules, simhash
+from . import byte_cnn, fingerprints, quality_rules, simhash
 
 QUERIES = {
+    "op2_byte_cnn": byte_cnn.op2_byte_cnn,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op8_simhash": simhash.op8_simhash,
     "op9_fingerprints": fingerprints.op9_fingerprints,
