@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_cnn, fingerprints, quality_rules, simhash
+from . import byte_cnn, fingerprints, quality_rules, simhash, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_byte_cnn": byte_cnn.op2_byte_cnn,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op8_simhash": simhash.op8_simhash,
