@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_cnn, fingerprints, packing, quality_rules, simhash, toxicity
+from . import byte_cnn, fingerprints, packing, quality_rules, simhash, toxicity, url_filters
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_byte_cnn": byte_cnn.op2_byte_cnn,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op6_url_rules": url_filters.op6_url_rules,
     "op7_packing": packing.op7_packing,
     "op8_simhash": simhash.op8_simhash,
     "op9_fingerprints": fingerprints.op9_fingerprints,
