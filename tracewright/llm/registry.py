@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_cnn, fingerprints, packing, quality_rules, simhash, toxicity, url_filters
+from . import byte_cnn, fingerprints, packing, quality_rules, secrets, simhash, toxicity, url_filters
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_byte_cnn": byte_cnn.op2_byte_cnn,
+    "op3_secret_scan": secrets.op3_secret_scan,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op6_url_rules": url_filters.op6_url_rules,
     "op7_packing": packing.op7_packing,
