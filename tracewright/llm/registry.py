@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_cnn, fingerprints, mixing, packing, quality_rules, secrets, simhash, toxicity, url_filters
+from . import byte_cnn, fingerprints, mixing, packing, quality_rules, secrets, simhash, suffix_arrays, toxicity, url_filters
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_packing": packing.op7_packing,
     "op8_simhash": simhash.op8_simhash,
     "op9_fingerprints": fingerprints.op9_fingerprints,
+    "op10_suffix_arrays": suffix_arrays.op10_suffix_arrays,
 }
 ORACLES = {
     "op4_quality_rules": quality_rules.ORACLE,
