@@ -226,6 +226,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ra
     return own.join(classes, "fp").select(key, "fp", "component_id")
 
 
+def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
+    """One document of each component, with all its columns: the one with the smallest key (null keys come last; equal keys are
+    told apart by all their columns, and of rows that are equal in all one stays)."""
+    name = F.struct(F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(*docs.columns).alias("h"))
+    found = near_duplicates(docs.select(F.col(text).alias("_text"), name.alias("_key")), "_text", "_key", radius, size)
+    kept = materialize(found.where("_key = component_id").groupBy("_key").agg(F.count("*").alias("_n")).select("_key.id", "_key.h", "_n"), "kept")
+    named = docs.select(F.struct(*docs.columns).alias("_doc"), name.alias("_key")).select("_doc", F.col("_key.id").alias("id"), F.col("_key.h").alias("h"))
+    once = named.join(kept.where("_n = 1"), ["id", "h"]).select("_doc")
+    many = named.join(kept.where("_n > 1"), ["id", "h"]).groupBy("id", "h").agg(F.any_value("_doc").alias("_doc")).select("_doc")
+    return once.unionByName(many).select("_doc.*")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -253,18 +253,26 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn, per_label: int
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` and the score."""
-    keep = keep or ["doc_id"]
+    """The columns ``keep`` (doc_id alone by default) and the score, which replaces a column of that name."""
+    keep = [c for c in (keep or ["doc_id"]) if c != "score"]
+    sent = keep if text in keep else [*keep, text]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 28 ** 3 costs and the bounded sample's lexicon
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = shared.value.scorer()
         for batch in it:
-            scores = pa.array([score(t or "") for t in batch.column(len(keep)).to_pylist()], pa.float64())
+            scores = pa.array([score(t or "") for t in batch.column(sent.index(text)).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), scores], [*keep, "score"])
 
-    return docs.select(*keep, F.col(text).alias("_scored_text")).mapInArrow(batches, f"{schema}, score double")
+    return docs.select(*sent).mapInArrow(batches, f"{schema}, score double")
+
+
+def reject(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The documents that score below the threshold, with all their columns."""
+    columns = [F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)]
+    scored = score_documents(docs.select(*columns), model, f"_c{docs.columns.index(text)}", [f"_c{i}" for i in range(len(columns))])
+    return scored.where(F.col("score") < threshold).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
