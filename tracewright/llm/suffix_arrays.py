@@ -11,8 +11,8 @@ A byte goes if a 200-byte string that covers it starts anywhere else too. All wo
    suffix array by Larsson-Sadakane refinement (eight bytes first, then doubling, sorted groups left alone) and its common
    prefixes by Kasai's rule (a prefix is one shorter than its left neighbour's unless the preceding bytes differ). A window is
    repeated if a neighbour shares 200 bytes with it, or its segment occurs twice.
-4. Merging. A key with more distinct segments than a shard holds spans several. Each of those emits one digest for each class of
-   equal windows; digests are dealt out by hash, and each sorted run is looked up in the others by binary search. A digest is
+4. Merging. A key with more distinct segments than a shard holds spans several. Each of those sends sorted runs of digests, one
+   digest a class of equal windows; runs meet by digest range, and each is looked up in the others by binary search. A digest is
    128 bits; the other comparisons are of bytes.
 5. Ranges of repeated windows go back to all copies of a segment by a join, and each document's bytes are cut out.
 
@@ -299,17 +299,20 @@ def _fetch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, z in enumerate(batch.column(1)):
             text = pa.decompress(z.as_buffer(), size[k], "zstd", asbytes=True)
             out += [text[a:b] for a, b in zip(first[bounds[k] : bounds[k + 1]].tolist(), end[bounds[k] : bounds[k + 1]].tolist())]
-        names = ["shard", "m", "s", "n", "spans"]
+        names = ["shard", "m", "s", "n", "parts"]
         yield pa.RecordBatch.from_arrays([*(flat.field(c) for c in names), pa.array(out, pa.binary())], [*names, "bytes"])
 
 
+_DIGEST = np.dtype([("c1", "<u8"), ("c2", "<u8"), ("s", "<i8"), ("at", "<i8")])
+
+
 def _shard(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shard, m, s, n, spans, bytes) to rows (m, s, ranges) of repeated windows; for keys that span shards also a row (m, s, c1, c2,
-    at) a class of equal windows: its digest and where its first member is. The others are known to be repeated."""
-    names = ["m", "s", "ranges", "c1", "c2", "at"]
-    types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int32()]
+    """(shard, m, s, n, parts, bytes) to rows (m, s, ranges) of repeated windows. A key that spans shards (parts > 0) also sends
+    its windows' digests, a first member a class (the others are known to be repeated): ``parts`` sorted runs by digest."""
+    names = ["m", "s", "ranges", "part", "run"]
+    types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.binary()]
     for table in _by_group(it):
-        m, s, n, spans = (table.column(k).to_numpy() for k in range(1, 5))
+        m, s, n, parts = (table.column(k).to_numpy() for k in range(1, 5))
         texts = table.column(5).to_pylist()
         raw = np.frombuffer(b"".join(texts), np.uint8)
         ends = np.cumsum([len(x) for x in texts])
@@ -317,25 +320,40 @@ def _shard(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for k, (a, b) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())):
             windows = flagged[a : b - LENGTH + 1] | (n[k] > 1)
-            if spans[k]:
-                for x in (a + np.flatnonzero(leader[a : b - LENGTH + 1] == np.arange(a, b - LENGTH + 1))).tolist():
-                    both = xxhash.xxh3_128_intdigest(raw[x : x + LENGTH].tobytes())
-                    out.append((m[k], s[k], None, *np.array([both >> 64, both & (1 << 64) - 1], np.uint64).view(np.int64).tolist(), x - a))
             if windows.any():
-                out.append((m[k], s[k], _ranges(windows), None, None, None))
+                out.append((m[k], s[k], _ranges(windows), None, None))
+        for key in np.unique(m[parts > 0]).tolist():
+            rows = np.flatnonzero(m == key)
+            first = np.concatenate([np.arange(ends[k] - len(texts[k]), ends[k] - LENGTH + 1) for k in rows])
+            first = first[leader[first] == first]
+            mem = raw.tobytes()
+            both = b"".join([xxhash.xxh3_128_digest(mem[x : x + LENGTH]) for x in first.tolist()])
+            run = np.zeros(len(first), _DIGEST)
+            run["c1"], run["c2"] = np.frombuffer(both, "<u8").reshape(-1, 2).T
+            segment = np.searchsorted(ends, first, "right")
+            run["s"], run["at"] = s[segment], first - np.r_[0, ends][segment]
+            run = np.sort(run, order=("c1", "c2"))
+            part = (run["c1"] % np.uint64(parts[rows[0]])).astype(np.int64)
+            out += [(key, None, None, p, run[part == p].tobytes()) for p in np.unique(part).tolist()]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
 
 def _merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (c1, c2, m, s, at) of a partition to those whose digest is there at least twice: each is looked up by binary search."""
-    table = pa.Table.from_batches(list(it), pa.schema([(c, pa.int64()) for c in ("c1", "c2", "m", "s", "at")]))
-    if table.num_rows:
-        c = np.zeros(table.num_rows, [("a", np.int64), ("b", np.int64)])
-        c["a"], c["b"] = table.column(0).to_numpy(), table.column(1).to_numpy()
-        run = np.sort(c)
-        again = np.searchsorted(run, c, "right") - np.searchsorted(run, c, "left") > 1
-        yield from table.filter(pa.array(again)).select(["m", "s", "at"]).to_batches()
+    """(group, m, run) to rows (m, s, ranges): each sorted run is looked up in every other run of its group by binary search."""
+    for table in _by_group(it):
+        runs = [np.frombuffer(x, _DIGEST) for x in table.column(2).to_pylist()]
+        whole = np.sort(np.concatenate(runs)[["c1", "c2"]].astype([("c1", "<u8"), ("c2", "<u8")]), order=("c1", "c2"))
+        hits = []
+        for run in runs:
+            wanted = run[["c1", "c2"]].astype(whole.dtype)
+            hits.append(run[np.searchsorted(whole, wanted, "right") - np.searchsorted(whole, wanted, "left") > 1])
+        hit = np.sort(np.concatenate(hits), order=("s", "at"))
+        if len(hit):
+            cuts = np.flatnonzero(np.r_[True, hit["s"][1:] != hit["s"][:-1]])
+            each = [np.stack([x["at"], x["at"] + 1], axis=1).ravel().astype(np.int32) for x in np.split(hit, cuts[1:])]
+            key = table.column(1)[0].as_py()
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(cuts)), pa.array(hit["s"][cuts]), pa.array(each, pa.list_(pa.int32()))], ["m", "s", "ranges"])
 
 
 def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -350,18 +368,17 @@ def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     whole = distinct.where("n > 1").join(contested, "m", "left_anti").select("m", "s", F.array(F.lit(0), F.col("at.p").bitwiseAND(F.lit(RUN)).cast("int")).alias("ranges"))
 
     shards = max(1, -(-total // SHARD))
-    spans = F.col("k") > SHARD
-    shard = F.when(spans, F.xxhash64("m", F.pmod("s", F.ceil(F.col("k") / SHARD)))).otherwise(F.pmod(F.xxhash64("m"), F.lit(shards)))
+    parts = F.when(F.col("k") > SHARD, F.ceil(F.col("k") / SHARD)).otherwise(0)  # shards of a key that spans several
+    shard = F.when(parts > 0, F.xxhash64("m", F.pmod("s", parts))).otherwise(F.pmod(F.xxhash64("m"), F.lit(shards)))
     wanted = distinct.join(contested, "m").select(
-        F.col("at.d").alias("d"), F.shiftrightunsigned("at.p", 48).alias("h"), F.struct(shard.alias("shard"), "m", "s", "n", spans.alias("spans"), F.col("at.p").alias("p")).alias("w")
+        F.col("at.d").alias("d"), F.shiftrightunsigned("at.p", 48).alias("h"), F.struct(shard.alias("shard"), "m", "s", "n", parts.alias("parts"), F.col("at.p").alias("p")).alias("w")
     )
     by_doc = wanted.groupBy("d", "h").agg(F.collect_list("w").alias("w"))  # segments of one document
-    fetched = _packed(docs, key, text).join(by_doc, ["d", "h"]).select("size", "z", "w").mapInArrow(_fetch, "shard long, m long, s long, n long, spans boolean, bytes binary")
+    fetched = _packed(docs, key, text).join(by_doc, ["d", "h"]).select("size", "z", "w").mapInArrow(_fetch, "shard long, m long, s long, n long, parts long, bytes binary")
     dealt = fetched.repartition("shard").sortWithinPartitions("shard")
-    found = materialize(dealt.mapInArrow(_shard, "m long, s long, ranges array<int>, c1 long, c2 long, at int"), "shards")
-    digests = found.where("c1 is not null").select("c1", "c2", "m", "s", F.col("at").cast("long").alias("at"))
-    merged = digests.repartition("c1", "c2").mapInArrow(_merge, "m long, s long, at long")
-    across = merged.groupBy("m", "s").agg(F.flatten(F.collect_list(F.array(F.col("at").cast("int"), (F.col("at") + 1).cast("int")))).alias("ranges"))
+    found = materialize(dealt.mapInArrow(_shard, "m long, s long, ranges array<int>, part long, run binary"), "shards")
+    runs = found.where("run is not null").select(F.xxhash64("m", "part").alias("g"), "m", "run")
+    across = runs.repartition("g").sortWithinPartitions("g").mapInArrow(_merge, "m long, s long, ranges array<int>")
     all_ranges = whole.unionByName(found.where("ranges is not null").select("m", "s", "ranges")).unionByName(across)
     ranges = materialize(all_ranges.groupBy("m", "s").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "ranges")
     start = F.expr("shiftrightunsigned(p, 16) & 4294967295")
