@@ -14,6 +14,8 @@ rows. Other columns of the documents are dropped.
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -34,6 +36,20 @@ MODEL = "word_bpe_49k.json"
 
 _known: dict[str, dict[bytes, bytes]] = {}
 _tokenizers: dict[str, object] = {}
+# Latin letters, perhaps with a full stop or comma: the tokenizer makes one piece of the letters, lower-cased and as bytes.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Each Latin letter's lower case in the printable stand-ins that byte-level tokenizers use for bytes."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    stand_in = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+    letters = [c for c in map(chr, range(256)) if _PLAIN.fullmatch(c)]
+    return {ord(c): "".join(stand_in[b] for b in c.lower().encode()) for c in letters}
+
+
+_LETTERS = _byte_letters()
 
 
 def vocabulary_path(name: str = MODEL) -> str:
@@ -42,22 +58,36 @@ def vocabulary_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
-def encode(texts: list[bytes], path: str) -> list[bytes]:
-    """Ids of each UTF-8 text as little-endian unsigned 32-bit numbers, without the closing id."""
+def _word_ids(words: list[bytes], path: str) -> Iterator[tuple[bytes, bytes]]:
+    """Each word with its ids. Plain words go to the vocabulary's merges directly, others through the whole tokenizer."""
     if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         _tokenizers[path] = Tokenizer.from_file(path)
+    tokenizer = _tokenizers[path]
+    merge, whole = tokenizer.model.tokenize, []
+    marks = {m: [t.id for t in merge(m)] if m else [] for m in ("", ".", ",")}
+    for word in words:
+        if plain := _PLAIN.fullmatch(word.decode()):
+            ids = [t.id for t in merge(plain[1].translate(_LETTERS))] + marks[plain[2]]
+            yield word, struct.pack(f"<{len(ids)}I", *ids)
+        else:
+            whole.append(word)
+    for at in range(0, len(whole), 10_000):
+        part = whole[at : at + 10_000]
+        for word, got in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
+            yield word, struct.pack(f"<{len(got.ids)}I", *got.ids)
+
+
+def encode(texts: list[bytes], path: str) -> list[bytes]:
+    """Ids of each UTF-8 text as little-endian unsigned 32-bit numbers, without the closing id."""
     known = _known.setdefault(path, {})
     if len(known) > CACHE:
         known.clear()
     split = [t.split() for t in texts]
-    new = list(set().union(*split).difference(known)) if split else []
-    for at in range(0, len(new), 10_000):
-        words = new[at : at + 10_000]
-        for word, got in zip(words, _tokenizers[path].encode_batch_fast([w.decode() for w in words], add_special_tokens=False)):
-            known[word] = np.array(got.ids, "<u4").tobytes()
+    if split:
+        known.update(_word_ids(list(set().union(*split).difference(known)), path))
     return [b"".join([known[w] for w in words]) for words in split]
 
 
