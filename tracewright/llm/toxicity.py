@@ -35,7 +35,9 @@ PER_LABEL = 2500
 PREFIXES = (3, 4, 5, 6, 7)
 TOP = 8  # largest word weights that the unit sees
 MIN_DOCS = 3  # sample documents that a lexicon entry needs
-CACHE = 400_000  # tokens whose weights a task remembers
+CACHE = 150_000  # tokens whose weights a task remembers
+WORK = 1 << 18  # bytes counted at once
+ROWS = 200  # documents in work at once
 THRESHOLD = 0.7
 SYMBOLS = 28
 
@@ -65,8 +67,12 @@ def _class(ch: str) -> int:
 def window_counts(texts: list[bytes]) -> np.ndarray:
     """Counts [SYMBOLS ** 3] of three-symbol windows; a text begins and ends with boundaries."""
     raw = np.frombuffer(b"  " + b"  ".join(texts) + b"  ", np.uint8)
-    symbols = _CLASS[raw[(raw & 0xC0) != 0x80]]
-    return np.bincount((symbols[:-2] * SYMBOLS + symbols[1:-1]) * SYMBOLS + symbols[2:], minlength=SYMBOLS**3)
+    raw = raw[(raw & 0xC0) != 0x80]
+    total = np.zeros(SYMBOLS**3, np.int64)
+    for at in range(0, len(raw) - 2, WORK):
+        symbols = _CLASS[raw[at : at + WORK + 2]]
+        total += np.bincount((symbols[:-2] * SYMBOLS + symbols[1:-1]) * SYMBOLS + symbols[2:], minlength=SYMBOLS**3)
+    return total
 
 
 def language_model(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -74,8 +80,9 @@ def language_model(docs: DataFrame, text: str = "text") -> np.ndarray:
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SYMBOLS**3, np.int64)
-        for batch in it:
-            total += window_counts([t for t in batch.column(0).cast(pa.binary()).to_pylist() if t])
+        for whole in it:
+            for at in range(0, whole.num_rows, ROWS):
+                total += window_counts([t for t in whole.column(0).slice(at, ROWS).cast(pa.binary()).to_pylist() if t])
         cell = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(total[cell])], ["cell", "n"])
 
@@ -261,7 +268,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, text: str = "text", k
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = shared.value.scorer()
-        for batch in it:
+        for batch in (whole.slice(at, ROWS) for whole in it for at in range(0, whole.num_rows, ROWS)):
             scores = pa.array([score(t or "") for t in batch.column(sent.index(text)).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), scores], [*keep, "score"])
 
