@@ -35,15 +35,16 @@ def prediction_errors(points: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def _finite(c: Column) -> Column:
-    return F.when(~F.isnan(c), c)
+def _corr(x: str, y: str) -> Column:
+    """Pearson's coefficient, null without variance (corr() raises there in ANSI mode)."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
 def correlations(points: DataFrame, by: list[str]) -> DataFrame:
     """Pearson and Spearman a group; null with fewer than two points or no variance."""
     ranked = points.withColumns({"_p": average_rank("predicted", by), "_m": average_rank("measured", by)})
     return ranked.groupBy(*by).agg(
-        F.round(_finite(F.corr("predicted", "measured")), 8).alias("pearson"), F.round(_finite(F.corr("_p", "_m")), 8).alias("spearman")
+        F.round(_corr("predicted", "measured"), 8).alias("pearson"), F.round(_corr("_p", "_m"), 8).alias("spearman")
     )
 
 

@@ -11,16 +11,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 HISTORY = 300  # accepted sequences that a session remembers
 
 
-def accept_monotone(steps: DataFrame, session: str = "session", sequence: str = "sequence", timeout_ms: int = 3_600_000) -> DataFrame:
+def accept_monotone(steps: DataFrame, session: str = "session", sequence: str = "sequence") -> DataFrame:
     """Rows (session, sequence, accepted) of a stream: a step is accepted if its sequence is above all accepted ones of its session.
 
-    Rows of a batch are taken in the order of ``arrival``. State is the last sequence and how many were accepted, a row a session;
-    idle sessions are forgotten."""
+    Rows of a batch are taken in the order of ``arrival``. State is the last sequence and how many were accepted, a row a session. It has
+    no processing-time timeout: with one, a query over what is there now would never end."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         last, count = state.get if state.exists else (-1, 0)
         for pdf in (pd.concat(list(batches)).sort_values("arrival"),):
             out = []
@@ -30,10 +27,9 @@ def accept_monotone(steps: DataFrame, session: str = "session", sequence: str =
                 out.append((key[0], int(s), ok))
             yield pd.DataFrame(out, columns=["session", "sequence", "accepted"])
         state.update((last, min(count, HISTORY)))
-        state.setTimeoutDuration(timeout_ms)
 
     return steps.groupBy(session).applyInPandasWithState(
-        step, "session long, sequence long, accepted boolean", "last long, accepted long", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, "session long, sequence long, accepted boolean", "last long, accepted long", "append", GroupStateTimeout.NoTimeout
     )
 
 
