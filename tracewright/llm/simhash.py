@@ -43,7 +43,8 @@ BANDS, BAND_ROWS = 12, 2
 WIDE_CHUNK = 1024
 _ODD = np.random.default_rng(42).integers(0, 1 << 63, WIDE_LANES + 1 + BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SLICE = 1 << 15  # pairs of query and word in work at once
-ROWS = 1 << 16  # rows of a partition in work at once
+WORDS = 128  # words unfolded at once
+ROWS = 1 << 13  # rows of a partition in work at once; a bucket of two takes a word of 64 lanes
 
 
 def shingles(words: list[bytes], size: int) -> list[bytes]:
@@ -92,8 +93,13 @@ def block_masks(blocks: int = BLOCKS, radius: int = RADIUS) -> list[int]:
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
     """Fingerprints [n, lanes] of uint64 (n a multiple of 64) as planes[bit, word]; lane i of a word is its i-th fingerprint."""
-    bits = np.unpackbits(np.ascontiguousarray(fps, "<u8").view(np.uint8).reshape(-1, 64, 8 * fps.shape[1]), axis=2, bitorder="little")
-    return np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little").view("<u8")[:, :, 0]
+    words, bits = len(fps) // 64, 64 * fps.shape[1]
+    planes = np.empty((bits, words), np.uint64)
+    for at in range(0, words, WORDS):  # unfolded bits take eight times the room
+        part = np.ascontiguousarray(fps[64 * at : 64 * (at + WORDS)], "<u8").view(np.uint8).reshape(-1, 64, bits // 8)
+        unfolded = np.unpackbits(part, axis=2, bitorder="little")
+        planes[:, at : at + WORDS] = np.ascontiguousarray(np.packbits(unfolded.transpose(2, 0, 1), axis=2, bitorder="little")).view("<u8")[:, :, 0]
+    return planes
 
 
 def _full_add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +186,7 @@ def spanning_links(group: np.ndarray, side: np.ndarray, fps: np.ndarray, radius:
     if not words:
         return np.zeros(0, int), np.zeros(0, int)
     lanes = np.concatenate(lanes_of).reshape(-1, 64)
-    planes = bit_planes(np.where(lanes.reshape(-1, 1) >= 0, fps[lanes.ravel()], np.uint64(0)))
+    planes = bit_planes(fps[lanes.ravel()])  # lanes without a row are masked below
     first = lanes[:, 0]
 
     def compare(word: np.ndarray, query: np.ndarray) -> None:
@@ -244,7 +250,7 @@ def _linked(keyed: DataFrame, fps: DataFrame, radius: int, chunk: int) -> DataFr
             row, root = spanning_links(g, side, fp, radius)
             return pa.RecordBatch.from_arrays([pa.array(node[root]), pa.array(node[row])], ["a", "b"])
 
-        for batch in it:
+        for batch in (whole.slice(at, ROWS) for whole in it for at in range(0, whole.num_rows, ROWS)):
             rest.append(batch)
             held += batch.num_rows
             if held >= ROWS:  # all groups but the last are whole
