@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("operators.access", "operators.mutations", "operators.bitmaps", "operators.graph", "functions.traces", "functions.statistics", "plans.synthesis", "plans.adaptation", "plans.calibration", "operators.integrity")
+MODULES = ("operators.access", "operators.mutations", "operators.bitmaps", "operators.graph", "functions.traces", "functions.statistics", "functions.evaluation", "plans.synthesis", "plans.adaptation", "plans.calibration", "operators.integrity")
 
 
 def load() -> None:
