@@ -122,6 +122,30 @@ def test_one_document_of_each_class_stays(docs, rows):
     assert len(kept[0]) == 5
 
 
+def test_similar_documents_against_all_pairs(spark, docs, rows):
+    rng = random.Random(21)
+    base = [prose(rng, 150).split() for _ in range(6)]
+    texts = []
+    for b in base:
+        for cuts in (0, 1, 2, 4, 7, 9, 12):
+            w = list(b)
+            for k in range(cuts):
+                w[5 + 11 * k] = f"x{rng.randrange(99)}"
+            texts.append(" ".join(w))
+    texts += [r[1] or "" for r in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()) for w in (t.lower().split() for t in texts)]
+    label = list(range(len(texts)))
+    for _ in range(4):
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if len(a & b) >= 0.8 * len(a | b):
+                    label[i] = label[j] = min(label[i], label[j])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == dict(enumerate(label))
+    ids = Counter(r.doc_id for r in simhash.similar_documents(docs).collect())
+    assert ids == Counter(r[0] for r in rows)
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 50 + i) for i in range(30)] + [(7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -38,7 +38,8 @@ CHUNK = 256  # fingerprints of a bucket that one group compares with as many
 # For classes of similar documents: 512 bits, and bands of minimum hashes that bring candidates together.
 WIDE_SHINGLE = 5
 WIDE_LANES = 8
-WIDE_RADIUS = 88
+WIDE_RADIUS = 100
+SIMILARITY = 0.8
 BANDS, BAND_ROWS = 12, 2
 WIDE_CHUNK = 1024
 _ODD = np.random.default_rng(42).integers(0, 1 << 63, WIDE_LANES + 1 + BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -150,8 +151,9 @@ def near_lanes(planes: np.ndarray, word: np.ndarray, query: np.ndarray, radius:
     return near
 
 
-def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Join the label trees of linked nodes in place; every label points to a smaller or equal node."""
+def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray, fps: np.ndarray, chosen: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    """Join the label trees of linked rows in place and keep the pairs that did it, the nearest ones first."""
+    distance = None
     while True:
         while not np.array_equal(up := label[label], label):
             label[:] = up
@@ -160,16 +162,21 @@ def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         if not apart.any():
             return
         a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
-        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        distance = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1) if distance is None else distance[apart]
+        order = np.argsort(distance, kind="stable")
+        high, first = np.unique(np.maximum(la, lb)[order], return_index=True)
+        pick = order[first]
+        label[high] = np.minimum(la, lb)[pick]
+        chosen.append((a[pick], b[pick]))
 
 
 def spanning_links(group: np.ndarray, side: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Rows sorted by group and side, fingerprints [n, lanes]. Sides: 0 queries, 1 targets of a pair of chunks; 2 both, of a lone
-    chunk. Returns (row, root) of a forest that spans each group's links.
+    chunk. Returns the rows (a, b) of a forest of near pairs that spans each group's links.
 
     A group's queries are compared in three parts; words that are wholly in a query's tree by then are passed over."""
     n = len(fps)
-    label = np.arange(n)
+    label, chosen = np.arange(n), []
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if n else np.zeros(0, int)
     lanes_of, words, parts = [], 0, [[], [], []]
     for a, b in zip(starts.tolist(), [*starts[1:].tolist(), n]):
@@ -202,7 +209,7 @@ def spanning_links(group: np.ndarray, side: np.ndarray, fps: np.ndarray, radius:
         k, lane = np.nonzero(on)
         other, own = lanes[word[hit[k]], lane], query[hit[k]]
         real = other >= 0
-        _union(label, own[real], other[real])
+        _union(label, own[real], other[real], fps, chosen)
 
     for part in parts:
         held_w, held_q, held = [], [], 0
@@ -217,10 +224,9 @@ def spanning_links(group: np.ndarray, side: np.ndarray, fps: np.ndarray, radius:
                     held_w, held_q, held = [], [], 0
         if held:
             compare(np.concatenate(held_w), np.concatenate(held_q))
-    while not np.array_equal(up := label[label], label):
-        label = up
-    row = np.flatnonzero(label != np.arange(n))
-    return row, label[row]
+    if not chosen:
+        return np.zeros(0, int), np.zeros(0, int)
+    return tuple(np.concatenate(x) for x in zip(*chosen))
 
 
 def _linked(keyed: DataFrame, fps: DataFrame, radius: int, chunk: int) -> DataFrame:
@@ -247,8 +253,8 @@ def _linked(keyed: DataFrame, fps: DataFrame, radius: int, chunk: int) -> DataFr
         def done(upto: pa.Table) -> pa.RecordBatch:
             g, side, node = (upto.column(i).to_numpy() for i in range(3))
             fp = np.frombuffer(b"".join(upto.column(3).to_pylist()), "<u8").reshape(len(g), -1)
-            row, root = spanning_links(g, side, fp, radius)
-            return pa.RecordBatch.from_arrays([pa.array(node[root]), pa.array(node[row])], ["a", "b"])
+            a, b = spanning_links(g, side, fp, radius)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], ["a", "b"])
 
         for batch in (whole.slice(at, ROWS) for whole in it for at in range(0, whole.num_rows, ROWS)):
             rest.append(batch)
@@ -319,32 +325,63 @@ def wide_signature(text: bytes, size: int = WIDE_SHINGLE) -> bytes:
     return np.packbits(2 * count > len(h), bitorder="little").tobytes() + key.astype("<u8").tobytes()
 
 
-def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = WIDE_RADIUS, size: int = WIDE_SHINGLE) -> DataFrame:
-    """Rows (key, component_id) of classes under similarity 0.8 of five-word shingles, as estimated by wide fingerprints.
+def _verified(named: DataFrame, found: DataFrame, distinct: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The links whose documents' shingle sets really have the similarity: texts of linked documents alone are cut up again."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh64_intdigest
+        for batch in it:
+            sets = []
+            for t in batch.column(1).cast(pa.binary()).to_pylist():
+                grams = shingles((t or b"").lower().split(), size)
+                sets.append(np.unique(np.fromiter((digest(g, SEED) for g in grams), np.uint64, len(grams))).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "grams"])
+
+    ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(distinct.select("node", F.col("least").alias("_key")), "node")
+    sets = materialize(named.join(materialize(ends, "ends"), "_key").select("node", "_text").mapInArrow(batches, "node long, grams array<long>"), "sets")
+    left = found.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
+    common = F.size(F.array_intersect("ga", "gb"))
+    return both.where((F.size("ga") + F.size("gb") == 0) | (common >= similarity * (F.size("ga") + F.size("gb") - common))).select("a", "b").distinct()
 
-    Sets of similarity 0.8 have vectors at 27 degrees, so their fingerprints differ in 15.1 % of the bits (77 of 512, give or take 8);
-    the radius takes in most pairs at 0.8 and practically all from 0.85, and next to none below 0.65. Pairs are compared where they
-    share a band of two minimum hashes; at similarity 0.8 one of twelve bands is missed by all with probability 5e-6."""
+
+def _similar(named: DataFrame, radius: int, size: int, similarity: float) -> DataFrame:
+    """Rows (_key, _text) to (_key, component_id)."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             both = [wide_signature(t or b"", size) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(both, pa.binary())], [key, "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(both, pa.binary())], ["_key", "sig"])
 
-    own = materialize(docs.select(key, text).mapInArrow(batches, f"`{key}` {docs.schema[key].dataType.simpleString()}, sig binary").withColumn("node", F.xxhash64("sig")), "signatures")
-    distinct = materialize(own.groupBy("node").agg(F.min(key).alias("least"), F.any_value("sig").alias("sig")), "distinct")
+    kind = named.schema["_key"].dataType.simpleString()
+    own = materialize(named.select("_key", "_text").mapInArrow(batches, f"_key {kind}, sig binary").withColumn("node", F.xxhash64("sig")), "signatures")
+    distinct = materialize(own.groupBy("node").agg(F.min("_key").alias("least"), F.any_value("sig").alias("sig")), "distinct")
     at = 8 * WIDE_LANES
     band = F.expr(f"explode(transform(sequence(0, {BANDS - 1}), i -> struct(i AS t, conv(hex(substring(sig, {at + 1} + 8 * i, 7)), 16, 10) AS key)))")
     keyed = distinct.select("node", band.alias("k")).select("node", "k.t", F.col("k.key").cast("long").alias("key"))
-    found = _linked(keyed, distinct.select("node", F.substring("sig", 1, at).alias("fp")), radius, WIDE_CHUNK)
-    return _named(own.select(key, "node"), distinct.select("node", "least"), components(found), key)
+    near = materialize(_linked(keyed, distinct.select("node", F.substring("sig", 1, at).alias("fp")), radius, WIDE_CHUNK), "near")
+    found = _verified(named, near, distinct, size, similarity)
+    return _named(own.select("_key", "node"), distinct.select("node", "least"), components(found), "_key").select("_key", "component_id")
+
+
+def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = WIDE_RADIUS, size: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Rows (key, component_id) of classes under the similarity (Jaccard) of five-word shingles.
+
+    Sets of similarity 0.8 have vectors at 27 degrees, so their fingerprints differ in 15.1 % of the bits (77 of 512, give or take
+    8); the radius takes in practically all pairs at 0.8. Pairs are compared where they share a band of two minimum hashes; at
+    similarity 0.8 all twelve bands miss with probability 5e-6. Each bucket keeps the nearest pairs that connect it, and only pairs
+    whose sets pass the exact check count."""
+    most = F.lit((1 << 63) - 1)
+    named = docs.select(F.col(text).alias("_text"), F.struct(F.coalesce(F.col(key).cast("long"), most).alias("id"), F.xxhash64(text).alias("h")).alias("_key"))
+    value = lambda c: F.when(F.col(c)["id"] != most, F.col(c)["id"])
+    return _similar(named, radius, size, similarity).select(value("_key").alias(key), value("component_id").alias("component_id"))
 
 
-def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = WIDE_RADIUS, size: int = WIDE_SHINGLE) -> DataFrame:
+def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = WIDE_RADIUS, size: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each class of similar documents, with all its columns: the one with the smallest key (null keys come last;
     equal keys are told apart by all their columns, and of rows that are equal in all one stays)."""
     name = F.struct(F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(*docs.columns).alias("h"))
-    found = similar_documents(docs.select(F.col(text).alias("_text"), name.alias("_key")), "_text", "_key", radius, size)
+    found = _similar(docs.select(F.col(text).alias("_text"), name.alias("_key")), radius, size, similarity)
     kept = materialize(found.where("_key = component_id").groupBy("_key").agg(F.count("*").alias("_n")).select("_key.id", "_key.h", "_n"), "kept")
     named = docs.select(F.struct(*docs.columns).alias("_doc"), name.alias("_key")).select("_doc", F.col("_key.id").alias("id"), F.col("_key.h").alias("h"))
     once = named.join(kept.where("_n = 1"), ["id", "h"]).select("_doc")
