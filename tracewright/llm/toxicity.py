@@ -7,7 +7,7 @@
    for its letters or for a boundary, a repetition for one or two letters, a separator for nothing or a boundary. Viterbi
    search finds the cheapest path under channel and language model. All other tokens stand as they are.
 3. Score: each restored word gets the largest lower bound of the log odds of its prefixes and itself; a logistic unit
-   combines the largest weights among a document's distinct words. Both are learned from a bounded sample drawn by hash
+   combines the largest weights among a document's distinct words, and the surest word may decide alone (noisy or). Both are learned from a bounded sample drawn by hash
    (``PER_LABEL`` documents a label): the lexicon from one half, the unit from the other, the final lexicon from both.
 
 Scoring is one pass over whole texts without a shuffle. Defined results: null and empty texts score as texts without words.
@@ -31,9 +31,10 @@ from pyspark.sql import functions as F
 from .scratch import documents
 from .training import labelled_sample, remainder
 
-PER_LABEL = 2500
+PER_LABEL = 2000
 PREFIXES = (3, 4, 5, 6, 7)
 TOP = 8  # largest word weights that the unit sees
+SURE = 4.5  # log odds at which one word may decide alone
 MIN_DOCS = 3  # sample documents that a lexicon entry needs
 CACHE = 150_000  # tokens whose weights a task remembers
 WORK = 1 << 18  # bytes counted at once
@@ -164,8 +165,9 @@ def log_odds(words: list[set[str]], labels: np.ndarray) -> dict[str, float]:
     """Lower bounds (one standard error) of log odds by documents that have an entry, where they are above 0."""
     n = [int((labels == v).sum()) for v in (0, 1)]
     seen = [Counter(), Counter()]
-    for own, v in zip(words, labels):
-        seen[int(v)].update({e for w in own for e in entries(w)})
+    for own, v in sorted(zip(words, labels), key=lambda x: -x[1]):  # of the other label only what label 1 has counts
+        found = {e for w in own for e in entries(w)}
+        seen[int(v)].update(found if v else found & seen[1].keys())
     lexicon = {}
     for e, n1 in seen[1].items():
         n0 = seen[0][e]
@@ -177,14 +179,14 @@ def log_odds(words: list[set[str]], labels: np.ndarray) -> dict[str, float]:
 
 
 def features(weights: np.ndarray) -> np.ndarray:
-    """Largest word weights and their running means; how many words there are."""
+    """The largest word weight, how far it is above ``SURE``, means of the 3 and TOP largest, how many words there are."""
     top = np.zeros(TOP)
     best = np.sort(weights)[::-1][:TOP]
     top[: len(best)] = best
-    return np.r_[top, top.cumsum() / np.arange(1, TOP + 1), np.log1p(len(weights))]
+    return np.r_[top[0], max(0.0, top[0] - SURE), top[:3].mean(), top.mean(), np.log1p(len(weights))]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 50) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.1, rounds: int = 50) -> np.ndarray:
     """Newton's method; the last weight is the bias."""
     x = np.c_[x, np.ones(len(x))]
     w = np.zeros(x.shape[1])
@@ -225,7 +227,9 @@ class ToxicityModel:
                     found = known[token] = weight(token)
                 weights.append(found)
             z = float(features(np.array(weights)) @ self.unit[:-1] + self.unit[-1])
-            return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+            alone = 3 * (max(weights, default=0.0) - SURE)
+            no = [1 / (1 + np.exp(np.clip(x, -30, 30))) for x in (z, alone)]
+            return float(1 - no[0] * no[1])  # either the words together or the surest one
 
         return score
 
@@ -243,7 +247,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn, per_label: int
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.string())], ["doc_id", "label", "words"])
 
     rows = sample.mapInArrow(batches, "doc_id long, label int, words string").toPandas().sort_values("doc_id", ignore_index=True)
-    words, y = [set(w.split()) for w in rows["words"]], rows["label"].to_numpy(np.float64)
+    one: dict[str, str] = {}  # equal words of different documents are one object
+    words, y = [{one.setdefault(x, x) for x in w.split()} for w in rows.pop("words")], rows["label"].to_numpy(np.float64)
     for_unit = np.random.default_rng(5).random(len(y)) < 0.5
     if len(set(y[for_unit])) < 2 or len(set(y[~for_unit])) < 2:
         for_unit[:] = True
