@@ -31,7 +31,7 @@ from .scratch import documents, materialize
 LENGTH = 2048
 GROUP = 4096  # pieces of a group, about
 END = 1  # id that closes a document
-CACHE = 1_000_000  # words that a worker remembers
+CACHE = 300_000  # words that a worker remembers, about 60 MB
 MODEL = "word_bpe_49k.json"
 
 _known: dict[str, dict[bytes, bytes]] = {}

@@ -48,6 +48,13 @@ WORDS = 128  # words unfolded at once
 ROWS = 1 << 13  # rows of a partition in work at once; a bucket of two takes a word of 64 lanes
 
 
+def _few(it: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that few texts are Python objects at once."""
+    for batch in it:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def shingles(words: list[bytes], size: int) -> list[bytes]:
     """Space-joined runs of ``size`` words, repeats included; the whole sequence if it is shorter; none of none."""
     if len(words) <= size:
@@ -76,7 +83,7 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
     """Rows (key, fp): the fingerprint as a signed long."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in _few(it):
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             fps = np.fromiter((fingerprint(t or b"", size) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], [key, "fp"])
@@ -328,17 +335,25 @@ def wide_signature(text: bytes, size: int = WIDE_SHINGLE) -> bytes:
 def _verified(named: DataFrame, found: DataFrame, distinct: DataFrame, size: int, similarity: float) -> DataFrame:
     """The links whose documents' shingle sets really have the similarity: texts of linked documents alone are cut up again."""
 
+    def packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _few(it):  # compressed for the way
+            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            z = pa.array([pa.compress(t, "zstd", asbytes=True) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), z], ["_key", "size", "z"])
+
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
-        for batch in it:
+        for batch in _few(it):
             sets = []
-            for t in batch.column(1).cast(pa.binary()).to_pylist():
-                grams = shingles((t or b"").lower().split(), size)
+            for n, z in zip(batch.column(1).to_pylist(), batch.column(2)):
+                text = pa.decompress(z.as_buffer(), n, "zstd", asbytes=True) if n else b""
+                grams = shingles(text.lower().split(), size)
                 sets.append(np.unique(np.fromiter((digest(g, SEED) for g in grams), np.uint64, len(grams))).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "grams"])
 
     ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(distinct.select("node", F.col("least").alias("_key")), "node")
-    sets = materialize(named.join(materialize(ends, "ends"), "_key").select("node", "_text").mapInArrow(batches, "node long, grams array<long>"), "sets")
+    texts = named.select("_key", "_text").mapInArrow(packed, f"_key {named.schema['_key'].dataType.simpleString()}, size long, z binary")
+    sets = materialize(texts.join(materialize(ends, "ends"), "_key").select("node", "size", "z").mapInArrow(batches, "node long, grams array<long>"), "sets")
     left = found.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
     common = F.size(F.array_intersect("ga", "gb"))
@@ -349,7 +364,7 @@ def _similar(named: DataFrame, radius: int, size: int, similarity: float) -> Dat
     """Rows (_key, _text) to (_key, component_id)."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in _few(it):
             both = [wide_signature(t or b"", size) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(both, pa.binary())], ["_key", "sig"])
 
