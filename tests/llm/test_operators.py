@@ -146,6 +146,25 @@ def test_similar_documents_against_all_pairs(spark, docs, rows):
     assert ids == Counter(r[0] for r in rows)
 
 
+def test_copies_of_one_text_that_are_less_alike_meet_in_it(spark):
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    texts = [" ".join(base)]
+    for _ in range(90):  # each 0.87 to the base, about 0.76 to one another
+        w = list(base)
+        for at in rng.sample(range(3, 78), 6):
+            w[5 * at] = f"y{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    alike = lambda a, b: len(a & b) / len(a | b)
+    assert min(alike(sets[0], s) for s in sets[1:]) >= 0.8 and sum(alike(a, b) >= 0.8 for a in sets[1:] for b in sets[1:]) < 2 * len(sets)
+    small = "one two three four five six seven eight"  # 4 and 5 shingles
+    texts += [small, small + " nine"]
+    want = {i: 0 for i in range(91)} | {91: 91, 92: 91}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == want
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 50 + i) for i in range(30)] + [(7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

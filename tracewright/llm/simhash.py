@@ -10,7 +10,8 @@
 5. Only a spanning forest of each bucket's links is emitted; components of it are the components of all links.
 
 ``similar_documents`` applies the same comparison to 512-bit fingerprints of five-word shingles with the radius that similarity 0.8
-sets, where blocks of the fingerprint are too short to collect candidates: there, buckets are bands of minimum hashes.
+sets, where blocks of the fingerprint are too short to collect candidates: there, buckets are bands of minimum hashes. Texts travel with
+the fingerprints, and a pair joins a bucket's forest only after an exact check of its shingle sets.
 
 Defined results: null and empty texts have fingerprint zero, linked like any other. Repeated rows stay rows. Null doc_ids
 take part and never name a component (all-null components are null). An empty table gives no rows. Other columns are dropped.
@@ -18,7 +19,7 @@ take part and never name a component (all-null components are null). An empty ta
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -38,7 +39,7 @@ CHUNK = 256  # fingerprints of a bucket that one group compares with as many
 # For classes of similar documents: 512 bits, and bands of minimum hashes that bring candidates together.
 WIDE_SHINGLE = 5
 WIDE_LANES = 8
-WIDE_RADIUS = 100
+WIDE_RADIUS = 150
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 12, 2
 WIDE_CHUNK = 1024
@@ -46,6 +47,7 @@ _ODD = np.random.default_rng(42).integers(0, 1 << 63, WIDE_LANES + 1 + BANDS * B
 SLICE = 1 << 15  # pairs of query and word in work at once
 WORDS = 128  # words unfolded at once
 ROWS = 1 << 13  # rows of a partition in work at once; a bucket of two takes a word of 64 lanes
+BYTES = 1 << 26  # bytes of a partition in work at once, and of shingle sets that are kept
 
 
 def _few(it: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
@@ -177,9 +179,29 @@ def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray, fps: np.ndarray, cho
         chosen.append((a[pick], b[pick]))
 
 
-def spanning_links(group: np.ndarray, side: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+def _checked_union(label: np.ndarray, a: np.ndarray, b: np.ndarray, fps: np.ndarray, same: Callable[[int, int], bool], chosen: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    """Like ``_union``, but only a pair that passes ``same`` joins trees; every other pair between two trees gets its turn."""
+    order = np.argsort(np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1), kind="stable")
+    a, b = a[order], b[order]
+    for at in range(0, len(a), 4096):
+        while not np.array_equal(up := label[label], label):
+            label[:] = up
+        some = at + np.flatnonzero(label[a[at : at + 4096]] != label[b[at : at + 4096]])
+        for x, y in zip(a[some].tolist(), b[some].tolist()):
+            p, q = x, y
+            while label[p] != p:
+                p = label[p]
+            while label[q] != q:
+                q = label[q]
+            if p != q and same(x, y):
+                label[max(p, q)] = min(p, q)
+                chosen.append((np.array([x]), np.array([y])))
+
+
+def spanning_links(group: np.ndarray, side: np.ndarray, fps: np.ndarray, radius: int = RADIUS, same: Callable[[int, int], bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Rows sorted by group and side, fingerprints [n, lanes]. Sides: 0 queries, 1 targets of a pair of chunks; 2 both, of a lone
-    chunk. Returns the rows (a, b) of a forest of near pairs that spans each group's links.
+chunk. Returns the rows (a, b) of a forest of near pairs that spans each group's links; with ``same``, a link is a near pair of rows
+    that passes it.
 
     A group's queries are compared in three parts; words that are wholly in a query's tree by then are passed over."""
     n = len(fps)
@@ -216,7 +238,10 @@ def spanning_links(group: np.ndarray, side: np.ndarray, fps: np.ndarray, radius:
         k, lane = np.nonzero(on)
         other, own = lanes[word[hit[k]], lane], query[hit[k]]
         real = other >= 0
-        _union(label, own[real], other[real], fps, chosen)
+        if same is None:
+            _union(label, own[real], other[real], fps, chosen)
+        else:
+            _checked_union(label, own[real], other[real], fps, same, chosen)
 
     for part in parts:
         held_w, held_q, held = [], [], 0
@@ -236,10 +261,15 @@ def spanning_links(group: np.ndarray, side: np.ndarray, fps: np.ndarray, radius:
     return tuple(np.concatenate(x) for x in zip(*chosen))
 
 
-def _linked(keyed: DataFrame, fps: DataFrame, radius: int, chunk: int) -> DataFrame:
-    """Rows (node, t, key) and (node, fp binary) to links (a, b) of nodes that span, in each bucket (t, key), all pairs in ``radius``."""
+def _linked(keyed: DataFrame, fps: DataFrame, radius: int, chunk: int, texts: Callable[[DataFrame], DataFrame] | None = None, size: int = 0, similarity: float = 0.0) -> DataFrame:
+    """Rows (node, t, key) and (node, fp binary) to links (a, b) of nodes that span, in each bucket (t, key), all pairs in ``radius``.
+
+    ``texts`` gives rows (node, size, z) for the nodes of shared buckets; then only pairs of the similarity are links."""
     shared = materialize(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     met = keyed.join(shared, ["t", "key"])
+    checked = texts is not None
+    if texts is not None:
+        fps = fps.join(texts(met.select("node").distinct()), "node")
     chunked = (
         met.join(fps, "node")
         .withColumn("c", F.ceil(F.col("n") / chunk))
@@ -248,32 +278,33 @@ def _linked(keyed: DataFrame, fps: DataFrame, radius: int, chunk: int) -> DataFr
         .select(
             F.xxhash64("t", "key", F.least("own", "other"), F.greatest("own", "other")).alias("g"),
             F.expr("case when own = other then 2 when own < other then 0 else 1 end").alias("side"),
-            "node",
-            "fp",
+            *fps.columns,
         )
     )
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
-        held = 0
+        held = weight = 0
 
         def done(upto: pa.Table) -> pa.RecordBatch:
             g, side, node = (upto.column(i).to_numpy() for i in range(3))
             fp = np.frombuffer(b"".join(upto.column(3).to_pylist()), "<u8").reshape(len(g), -1)
-            a, b = spanning_links(g, side, fp, radius)
+            same = _similarity_check(upto.column(4).to_pylist(), upto.column(5), size, similarity) if checked else None
+            a, b = spanning_links(g, side, fp, radius, same)
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], ["a", "b"])
 
         for batch in (whole.slice(at, ROWS) for whole in it for at in range(0, whole.num_rows, ROWS)):
             rest.append(batch)
             held += batch.num_rows
-            if held >= ROWS:  # all groups but the last are whole
+            weight += batch.nbytes
+            if held >= ROWS or weight >= BYTES:  # all groups but the last are whole
                 table = pa.Table.from_batches(rest).combine_chunks()
                 g = table.column(0).to_numpy()
                 whole = int(np.searchsorted(g, g[-1]))
                 if whole:
                     yield done(table.slice(0, whole))
                     table = table.slice(whole)
-                rest, held = table.to_batches(), table.num_rows
+                rest, held, weight = table.to_batches(), table.num_rows, 0
         if held:
             yield done(pa.Table.from_batches(rest).combine_chunks())
 
@@ -308,12 +339,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ra
 
 
 def wide_signature(text: bytes, size: int = WIDE_SHINGLE) -> bytes:
-    """WIDE_LANES * 64 SimHash bits of the distinct word shingles and the BANDS keys of their minimum hashes; A-Z count as a-z."""
-    grams = shingles(text.lower().split(), size)
-    digest = xxhash.xxh64_intdigest
-    h = np.unique(np.fromiter((digest(g, SEED) for g in grams), np.uint64, len(grams)))
+    """WIDE_LANES * 64 SimHash bits of the distinct word shingles, the BANDS keys of their minimum hashes, and a digest of them all;
+    A-Z count as a-z."""
+    h = shingle_set(text, size)
     if not len(h):
-        return bytes(8 * (WIDE_LANES + BANDS))
+        return bytes(8 * (WIDE_LANES + BANDS + 1))
     lanes = (h[:, None] ^ h[:, None] >> np.uint64(31)) * _ODD[:WIDE_LANES]
     lanes ^= lanes >> np.uint64(29)
     lanes *= _ODD[WIDE_LANES : WIDE_LANES + 1]
@@ -329,35 +359,58 @@ def wide_signature(text: bytes, size: int = WIDE_SHINGLE) -> bytes:
     key = band[:, 0].copy()
     for k in range(1, BAND_ROWS):
         key = (key ^ key >> np.uint64(33)) * _ODD[0] + band[:, k]
-    return np.packbits(2 * count > len(h), bitorder="little").tobytes() + key.astype("<u8").tobytes()
+    return np.packbits(2 * count > len(h), bitorder="little").tobytes() + key.astype("<u8").tobytes() + xxhash.xxh3_64_digest(h.tobytes())
+
+
+def shingle_set(text: bytes, size: int = WIDE_SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles; A-Z count as a-z."""
+    grams = shingles(text.lower().split(), size)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(g, SEED) for g in grams), np.uint64, len(grams)))
 
 
-def _verified(named: DataFrame, found: DataFrame, distinct: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The links whose documents' shingle sets really have the similarity: texts of linked documents alone are cut up again."""
+def _similarity_check(sizes: list[int], packed: pa.ChunkedArray, size: int, similarity: float) -> Callable[[int, int], bool]:
+    """Whether the shingle sets of two rows have the similarity. Texts are cut up when first asked for, and ``BYTES`` of sets kept."""
+    held: dict[int, np.ndarray] = {}
+    room = 0
+
+    def grams(row: int) -> np.ndarray:
+        nonlocal room
+        if row not in held:
+            if room > BYTES:
+                held.clear()
+                room = 0
+            text = pa.decompress(packed[row].as_buffer(), sizes[row], "zstd", asbytes=True) if sizes[row] else b""
+            held[row] = shingle_set(text, size)
+            room += held[row].nbytes
+        return held[row]
+
+    def same(a: int, b: int) -> bool:
+        x, y = grams(a), grams(b)
+        if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+            return False
+        both = np.sort(np.concatenate([x, y]), kind="stable")
+        common = int(np.count_nonzero(both[1:] == both[:-1]))
+        return common >= similarity * (len(both) - common)
+
+    return same
+
+
+def _packed_texts(named: DataFrame, distinct: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """From rows (node) to (node, size, z): the text of one document of each, compressed for the way."""
 
     def packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _few(it):  # compressed for the way
+        for batch in _few(it):
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             z = pa.array([pa.compress(t, "zstd", asbytes=True) for t in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), z], ["_key", "size", "z"])
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
-        for batch in _few(it):
-            sets = []
-            for n, z in zip(batch.column(1).to_pylist(), batch.column(2)):
-                text = pa.decompress(z.as_buffer(), n, "zstd", asbytes=True) if n else b""
-                grams = shingles(text.lower().split(), size)
-                sets.append(np.unique(np.fromiter((digest(g, SEED) for g in grams), np.uint64, len(grams))).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "grams"])
-
-    ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(distinct.select("node", F.col("least").alias("_key")), "node")
-    texts = named.select("_key", "_text").mapInArrow(packed, f"_key {named.schema['_key'].dataType.simpleString()}, size long, z binary")
-    sets = materialize(texts.join(materialize(ends, "ends"), "_key").select("node", "size", "z").mapInArrow(batches, "node long, grams array<long>"), "sets")
-    left = found.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-    common = F.size(F.array_intersect("ga", "gb"))
-    return both.where((F.size("ga") + F.size("gb") == 0) | (common >= similarity * (F.size("ga") + F.size("gb") - common))).select("a", "b").distinct()
+    def texts(nodes: DataFrame) -> DataFrame:
+        ends = materialize(nodes.join(distinct.select("node", F.col("least").alias("_key")), "node"), "ends")
+        found = named.select("_key", "_text").mapInArrow(packed, f"_key {named.schema['_key'].dataType.simpleString()}, size long, z binary").join(ends, "_key")
+        return materialize(found.groupBy("node").agg(F.any_value("size").alias("size"), F.any_value("z").alias("z")), "texts")  # a key may be a repeated row's
+
+    return texts
 
 
 def _similar(named: DataFrame, radius: int, size: int, similarity: float) -> DataFrame:
@@ -374,18 +427,18 @@ def _similar(named: DataFrame, radius: int, size: int, similarity: float) -> Dat
     at = 8 * WIDE_LANES
     band = F.expr(f"explode(transform(sequence(0, {BANDS - 1}), i -> struct(i AS t, conv(hex(substring(sig, {at + 1} + 8 * i, 7)), 16, 10) AS key)))")
     keyed = distinct.select("node", band.alias("k")).select("node", "k.t", F.col("k.key").cast("long").alias("key"))
-    near = materialize(_linked(keyed, distinct.select("node", F.substring("sig", 1, at).alias("fp")), radius, WIDE_CHUNK), "near")
-    found = _verified(named, near, distinct, size, similarity)
+    wide = distinct.select("node", F.substring("sig", 1, at).alias("fp"))
+    found = _linked(keyed, wide, radius, WIDE_CHUNK, _packed_texts(named, distinct), size, similarity)
     return _named(own.select("_key", "node"), distinct.select("node", "least"), components(found), "_key").select("_key", "component_id")
 
 
 def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = WIDE_RADIUS, size: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """Rows (key, component_id) of classes under the similarity (Jaccard) of five-word shingles.
 
-    Sets of similarity 0.8 have vectors at 27 degrees, so their fingerprints differ in 15.1 % of the bits (77 of 512, give or take
-    8); the radius takes in practically all pairs at 0.8. Pairs are compared where they share a band of two minimum hashes; at
-    similarity 0.8 all twelve bands miss with probability 5e-6. Each bucket keeps the nearest pairs that connect it, and only pairs
-    whose sets pass the exact check count."""
+    Large sets of similarity 0.8 have vectors at 27 degrees, so their fingerprints differ in 15.1 % of the bits (77 of 512, give or
+    take 8), sets of 4 and 5 shingles in 18.8 % (96, give or take 9); the radius is six deviations above that. Pairs are compared where
+    they share a band of two minimum hashes; at similarity 0.8 all twelve bands miss with probability 5e-6. Nearest pairs are checked
+    first, and only pairs whose sets pass the exact check join a bucket's trees."""
     most = F.lit((1 << 63) - 1)
     named = docs.select(F.col(text).alias("_text"), F.struct(F.coalesce(F.col(key).cast("long"), most).alias("id"), F.xxhash64(text).alias("h")).alias("_key"))
     value = lambda c: F.when(F.col(c)["id"] != most, F.col(c)["id"])
