@@ -352,6 +352,17 @@ def test_quality_network_learns_and_scores_everything(spark, docs):
     assert byte_cnn.train(own, labels, "quality", F.lit(False)) == 0.5
 
 
+def test_quality_network_learns_from_whole_texts(spark, monkeypatch):
+    own, labels = labelled(spark, lambda r: prose(r, 900), lambda r: prose(r, 500), 6)
+    seen = []
+    net = byte_cnn.ByteCNN(np.zeros((byte_cnn.WIDTH, 256, byte_cnn.FILTERS), np.float32), np.zeros(byte_cnn.FILTERS), np.zeros(2 * byte_cnn.FILTERS), 0.0)
+    monkeypatch.setattr(byte_cnn, "fit", lambda chunks, starts, y: seen.append((chunks, starts)) or net)
+    byte_cnn.train(own, labels, "quality", F.lit(True))
+    want = [byte_cnn.chunked(r.text.encode()) for r in own.orderBy("doc_id").collect()]
+    assert min(map(len, want)) > 4 and np.array_equal(seen[0][0], np.concatenate(want))
+    assert seen[0][1].tolist() == np.cumsum([0, *map(len, want)])[:-1].tolist()
+
+
 def test_toxicity_restores_disguises(spark, docs):
     insult = lambda r: prose(r, 40) + " You worthless idiot. " + prose(r, 20)
     own, labels = labelled(spark, lambda r: prose(r, 60), insult)

@@ -3,7 +3,7 @@
 A text's UTF-8 bytes are cut into overlapping chunks that cover all of it. Learned filters run over every position of a
 chunk (as sums of table rows, one table for each offset in the filter), are rectified and max-pooled within the chunk; the
 maximum and the mean over all chunks go through one logistic unit. Training is Adam on a bounded sample drawn by hash
-(``PER_LABEL`` documents a label, ``CHUNKS`` chunks each, evenly over the text); the share of each label among all learning
+(``PER_LABEL`` documents a label, all chunks of each, so that pooling covers the same whole text as in scoring); the share of each label among all learning
 rows then sets the bias. Scoring is one pass without a shuffle, a chunk block at a time in memory.
 
 Defined results: null and empty texts are one chunk of padding. If a label is missing among the learning rows the score is
@@ -28,7 +28,6 @@ FILTERS = 24
 CHUNK = 512
 OVERLAP = 64
 PER_LABEL = 1200
-CHUNKS = 4
 EPOCHS = 12
 RATE = 0.01
 DECAY = 1e-4
@@ -62,6 +61,12 @@ class ByteCNN:
             total += row
         return total
 
+    def strongest(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each filter's best position and its sum there, before the bias."""
+        conv = self.convolve(chunks)
+        best = conv.argmax(axis=1)
+        return best, np.take_along_axis(conv, best[:, None, :], axis=1)[:, 0]
+
     def pooled(self, chunks: np.ndarray) -> np.ndarray:
         """Rectified maxima [n, FILTERS] of chunks."""
         parts = [self.convolve(chunks[a : a + BLOCK]).max(axis=1) for a in range(0, len(chunks), BLOCK)]
@@ -106,9 +111,8 @@ def fit(chunks: np.ndarray, starts: np.ndarray, labels: np.ndarray, epochs: int
             count = (ends - starts)[docs]
             first = np.r_[0, np.cumsum(count)[:-1]]
             x = chunks[own]
-            conv = net.convolve(x)
-            best = conv.argmax(axis=1)  # [chunks, FILTERS]
-            raw = np.take_along_axis(conv, best[:, None, :], axis=1)[:, 0] + net.bias
+            best, raw = map(np.concatenate, zip(*(net.strongest(x[a : a + BLOCK]) for a in range(0, len(x), BLOCK))))  # [chunks, FILTERS]
+            raw = raw + net.bias
             pool = np.maximum(raw, 0)
             top, mean = np.maximum.reduceat(pool, first), np.add.reduceat(pool, first) / count[:, None]
             logit = np.hstack([top, mean]) @ net.out + net.out_bias
@@ -137,7 +141,7 @@ def fit(chunks: np.ndarray, starts: np.ndarray, labels: np.ndarray, epochs: int
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, learn, per_label: int = PER_LABEL, n_chunks: int = CHUNKS) -> ByteCNN | float:
+def train(docs: DataFrame, labels: DataFrame, label: str, learn, per_label: int = PER_LABEL) -> ByteCNN | float:
     """A network, or the constant score where only one label can be learned from."""
     sample, found = labelled_sample(docs, labels, label, learn, per_label)
     if not found.get(0) or not found.get(1):
@@ -145,10 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn, per_label: int
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            out = []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
-                own = chunked(text or b"")
-                out.append(own[np.unique(np.linspace(0, len(own) - 1, n_chunks).round().astype(int))].tobytes())
+            out = [chunked(text or b"").tobytes() for text in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["doc_id", "label", "chunks"])
 
     rows = sample.mapInArrow(cut, "doc_id long, label int, chunks binary").toPandas().sort_values("doc_id")
