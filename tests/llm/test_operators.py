@@ -209,6 +209,25 @@ def test_repeated_bytes_against_brute_force(docs, rows, monkeypatch, shard):
     assert Counter((r.doc_id, r.n_bytes, tuple(r.spans), bytes(r.kept)) for r in suffix_arrays.remove_repeats(docs).collect()) == want
 
 
+def test_rows_with_equal_ids_keep_apart(spark):
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(300))
+    texts = []
+    for i in range(1500):
+        own = "".join(rng.choice("ijklmnop") for _ in range(250))
+        texts.append(own[: i % 200] + (passage if i % 2 else "") + own[i % 200 :])
+    counts = Counter(t[x : x + 200] for t in texts for x in range(len(t) - 199))
+    want = Counter()
+    for t in texts:
+        gone = {x + k for x in range(len(t) - 199) if counts[t[x : x + 200]] > 1 for k in (0, 199)}
+        first, end = (min(gone), max(gone) + 1) if gone else (0, 0)  # one stretch
+        want[len(t), (first, end) if gone else (), (t[:first] + t[end:]).encode()] += 1
+    for key in (None, 7):
+        df = spark.createDataFrame([(key, t) for t in texts], "doc_id long, text string")
+        got = suffix_arrays.remove_repeats(df).collect()
+        assert {r.doc_id for r in got} == {key} and Counter((r.n_bytes, tuple(r.spans), bytes(r.kept)) for r in got) == want
+
+
 def test_suffix_arrays_and_prefixes():
     rng = np.random.default_rng(0)
     for trial in range(25):

@@ -17,8 +17,8 @@ A byte goes if a 200-byte string that covers it starts anywhere else too. All wo
 5. Ranges of repeated windows go back to all copies of a segment by a join, and each document's bytes are cut out.
 
 Defined results: null and empty texts have no bytes and nothing removed. Matches never cross documents; they may be in the same one, also
-overlapping. Repeated rows repeat each other, so they lose all their bytes (from 200 up). Rows with equal doc_id are told apart by their
-texts. Other columns are dropped.
+overlapping. Repeated rows repeat each other, so they lose all their bytes (from 200 up). Rows are known by 128 bits of hash of doc_id and
+text, so those with equal or null doc_id are told apart by their texts. Other columns are dropped.
 """
 
 from __future__ import annotations
@@ -135,31 +135,31 @@ def _slices(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(d, h, t): rows are known by the key and 16 bits of the text's hash."""
-    h = F.shiftrightunsigned(F.xxhash64(text), 48)
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("d"), h.alias("h"), F.col(text).alias("t"))
+    """(d, h, t, k): rows are known by two hashes, 64 bits each, of text and key; k is the key."""
+    k = F.col(key).cast("long")
+    return docs.select(F.xxhash64(text, k).alias("d"), F.xxhash64(F.lit(7), text, k).alias("h"), F.col(text).alias("t"), k.alias("k"))
 
 
 def _packed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(d, h, size, z): texts compressed for the way."""
+    """(d, h, k, size, z): texts compressed for the way."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             texts = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
             z = pa.array([pa.compress(t, "zstd", asbytes=True) for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(t) for t in texts], pa.int64()), z], ["d", "h", "size", "z"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array([len(t) for t in texts], pa.int64()), z], ["d", "h", "k", "size", "z"])
 
-    return _identified(docs, key, text).mapInArrow(batches, "d long, h long, size long, z binary")
+    return _identified(docs, key, text).mapInArrow(batches, "d long, h long, k long, size long, z binary")
 
 
 def cut(docs: DataFrame, key: str = "doc_id", text: str = "text", only_keys: bool = False) -> DataFrame:
-    """Rows (m, s, d, p, again): key and digest of each segment, where it is; p packs h, the start and the number of windows."""
+    """Rows (m, s, d, h, p, again): key and digest of each segment, where it is; p packs the start and the number of windows."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
             for batch in (whole.slice(a, 1000) for a in range(0, whole.num_rows, 1000)):
                 texts = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
-                d, h = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.uint64)
+                d, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
                 found = []
                 for raw, starts, ends, who, where in _slices(texts):
                     m, at, run, again = segments(raw, starts, ends)
@@ -171,15 +171,15 @@ def cut(docs: DataFrame, key: str = "doc_id", text: str = "text", only_keys: boo
                     s = np.fromiter((digest(mem[a:b]) for a, b in zip(at.tolist(), (at + run + LENGTH - 1).tolist())), np.uint64, len(at))
                     k = np.searchsorted(starts, at, "right") - 1
                     start = (at - starts[k] + where[k]).astype(np.uint64)
-                    p = h[who[k]] << np.uint64(48) | start << np.uint64(16) | run.astype(np.uint64)
-                    found.append((m, s, d[who[k]], p, again))
-                names = ["m"] if only_keys else ["m", "s", "d", "p", "again"]
+                    p = start << np.uint64(16) | run.astype(np.uint64)
+                    found.append((m, s, d[who[k]], h[who[k]], p, again))
+                names = ["m"] if only_keys else ["m", "s", "d", "h", "p", "again"]
                 if found:
                     columns = [np.concatenate(c) for c in zip(*found)]
                     arrays = [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns]
                     yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return _identified(docs, key, text).mapInArrow(batches, "m long" if only_keys else "m long, s long, d long, p long, again boolean")
+    return _identified(docs, key, text).mapInArrow(batches, "m long" if only_keys else "m long, s long, d long, h long, p long, again boolean")
 
 
 def suffix_array(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -361,7 +361,7 @@ def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     shared = materialize(cut(docs, key, text, only_keys=True).groupBy("m").agg(F.count("*").alias("_n")).where("_n > 1").select("m", F.lit(True).alias("_shared")), "keys")
     own = cut(docs, key, text)
     kept = materialize(own.join(shared, "m", "left").where("_shared OR again").drop("_shared"), "segments")
-    distinct = materialize(kept.groupBy("m", "s").agg(F.count("*").alias("n"), F.min(F.struct("d", "p")).alias("at"), F.max("again").alias("again")), "distinct")
+    distinct = materialize(kept.groupBy("m", "s").agg(F.count("*").alias("n"), F.min(F.struct("d", "h", "p")).alias("at"), F.max("again").alias("again")), "distinct")
     groups = distinct.groupBy("m").agg(F.count("*").alias("k"), F.max("again").alias("self"))
     contested = materialize(groups.where("k > 1 OR self").select("m", "k"), "contested")
     total = contested.agg(F.sum("k")).first()[0] or 0
@@ -371,7 +371,7 @@ def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     parts = F.when(F.col("k") > SHARD, F.ceil(F.col("k") / SHARD)).otherwise(0)  # shards of a key that spans several
     shard = F.when(parts > 0, F.xxhash64("m", F.pmod("s", parts))).otherwise(F.pmod(F.xxhash64("m"), F.lit(shards)))
     wanted = distinct.join(contested, "m").select(
-        F.col("at.d").alias("d"), F.shiftrightunsigned("at.p", 48).alias("h"), F.struct(shard.alias("shard"), "m", "s", "n", parts.alias("parts"), F.col("at.p").alias("p")).alias("w")
+        F.col("at.d").alias("d"), F.col("at.h").alias("h"), F.struct(shard.alias("shard"), "m", "s", "n", parts.alias("parts"), F.col("at.p").alias("p")).alias("w")
     )
     by_doc = wanted.groupBy("d", "h").agg(F.collect_list("w").alias("w"))  # segments of one document
     fetched = _packed(docs, key, text).join(by_doc, ["d", "h"]).select("size", "z", "w").mapInArrow(_fetch, "shard long, m long, s long, n long, parts long, bytes binary")
@@ -382,8 +382,8 @@ def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     all_ranges = whole.unionByName(found.where("ranges is not null").select("m", "s", "ranges")).unionByName(across)
     ranges = materialize(all_ranges.groupBy("m", "s").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "ranges")
     start = F.expr("shiftrightunsigned(p, 16) & 4294967295")
-    placed = kept.select("m", "s", "d", "p").join(ranges, ["m", "s"]).select(
-        "d", F.shiftrightunsigned("p", 48).alias("h"), F.transform("ranges", lambda x, i: start + x + F.when(i % 2 == 1, LENGTH - 1).otherwise(0)).alias("spans")
+    placed = kept.select("m", "s", "d", "h", "p").join(ranges, ["m", "s"]).select(
+        "d", "h", F.transform("ranges", lambda x, i: start + x + F.when(i % 2 == 1, LENGTH - 1).otherwise(0)).alias("spans")
     )
     return placed.groupBy("d", "h").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
@@ -407,12 +407,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                     all_spans.append([])
                     all_kept.append(raw)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(all_spans, pa.list_(pa.int64())), pa.array(all_kept, pa.binary())], ["d", "n_bytes", "spans", "kept"]
+                [batch.column(0), batch.column(1), pa.array(all_spans, pa.list_(pa.int64())), pa.array(all_kept, pa.binary())], ["k", "n_bytes", "spans", "kept"]
             )
 
-    held = _packed(docs, key, text).join(spans, ["d", "h"], "left").select("d", "size", "z", "spans")
-    done = held.mapInArrow(batches, "d long, n_bytes long, spans array<long>, kept binary")
-    return done.select(F.when(F.col("d") != -(1 << 63), F.col("d")).alias(key), "n_bytes", "spans", "kept")
+    held = _packed(docs, key, text).join(spans, ["d", "h"], "left").select("k", "size", "z", "spans")
+    done = held.mapInArrow(batches, "k long, n_bytes long, spans array<long>, kept binary")
+    return done.select(F.col("k").alias(key), "n_bytes", "spans", "kept")
 
 
 def op10_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
