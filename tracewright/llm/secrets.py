@@ -29,9 +29,15 @@ THRESHOLD = 0.5
 MASK = "[SECRET]"
 NAMES = "password|passwd|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth[_-]?key|private[_-]?key|client[_-]?secret"
 ASSIGNED = rf"(?i:{NAMES})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?"
+# To the END line; if that is missing, over the headers and the base64 lines. Line breaks may be escaped. Possessive groups don't recurse.
+BREAK = r"(?:\s|\\[nr])"
+KEY_BLOCK = (
+    rf"(?:{ASSIGNED})?-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----(?:(?:[^-]++|-(?!----))*+-----END [A-Z ]{{0,30}}PRIVATE KEY-----"
+    rf"|(?:{BREAK}++[A-Za-z-]{{1,30}}: [^\n]{{0,100}}+)*+(?:{BREAK}++[A-Za-z0-9+/]{{20,}}+={{0,2}})++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/]{{1,64}}+={{0,2}}(?=[ \t]*+(?:\r?\n|\z)))?+)?+"
+)
 CANDIDATE = "|".join(
     [
-        r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----",
+        KEY_BLOCK,
         rf"{ASSIGNED}[^\s\"'<>]{{8,}}+[\"']?",
         r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
         r"\bgh[pousr]_[A-Za-z0-9]{36,}+",
@@ -41,7 +47,7 @@ CANDIDATE = "|".join(
     ]
 )
 KINDS = (
-    ("private_key", r"^-----BEGIN"),
+    ("private_key", rf"^(?:{ASSIGNED})?-----BEGIN"),
     ("access_key_id", r"^(AKIA|ASIA)[0-9A-Z]{16}$"),
     ("platform_token", r"^(gh[pousr]_|xox[abprs]-)"),
     ("signed_token", r"^eyJ[A-Za-z0-9_-]+\."),
@@ -102,7 +108,7 @@ def features(found: DataFrame) -> tuple[DataFrame, list[str]]:
         "f_test_path": F.lower(F.coalesce("path", F.lit(""))).rlike("test|example|sample|fixture|doc|mock"),
         "f_assigned": F.col("candidate").rlike("^" + ASSIGNED),
         "f_quoted": F.col("candidate").rlike(r"[\"']$") | F.col("after").rlike("^[\"']"),
-        "f_fixed_form": F.col("candidate").rlike("^(AKIA|ASIA|gh[pousr]_|xox|eyJ|-----BEGIN)"),
+        "f_fixed_form": F.col("candidate").rlike(f"^(AKIA|ASIA|gh[pousr]_|xox|eyJ|(?:{ASSIGNED})?-----BEGIN)"),
         "f_near_key": near.rlike(f"{NAMES}|credential|bearer"),
         "f_near_hash": near.rlike(r"commit|sha-?[0-9]*\b|md5|checksum|digest|hash|uuid|guid|revision|etag|base64|integrity|order|isbn"),
         "f_near_fake": F.lower(F.concat_ws(" ", "before", "candidate", "after")).rlike("example|sample|dummy|fake|placeholder|changeme|your[_-]|xxxx|insert|redacted"),
@@ -124,6 +130,7 @@ def labelled_findings(spark: SparkSession, n: int = N_LABELLED) -> DataFrame:
     equal = "element_at(array('=', ' = ', ': ', ' = \"', ': \"'), 1 + cast(pmod(xxhash64(id, 8), 5) as int))"
     shut = "if(pmod(xxhash64(id, 8), 5) >= 3, '\"', '')"
     prose = f"concat({w[0]}, ' ', {w[1]}, ' and ', {w[2]}, ' ')"
+    body = lambda end: f"concat_ws({end}, '', repeat(concat(substr({b64}, 1, 64), {end}), 1 + cast(pmod(xxhash64(id, 5), 20) as int)), concat(substr({b64}, 65), '='))"
     templates = [
         (1, prose, f"concat({name}, {equal}, substr({hex_}, 1, {size}), {shut})"),
         (1, prose, f"concat({name}, {equal}, substr({alnum}, 1, {size}), {shut})"),
@@ -134,6 +141,9 @@ def labelled_findings(spark: SparkSession, n: int = N_LABELLED) -> DataFrame:
         (1, prose, f"concat('eyJ', substr({alnum}, 1, 30), '.', substr({alnum}, 31, 40))"),
         (1, f"concat({prose}, 'bearer credential ')", f"substr({alnum}, 1, {size} + 6)"),
         (1, prose, "'-----BEGIN RSA PRIVATE KEY-----'"),
+        (1, prose, f"concat('-----BEGIN RSA PRIVATE KEY-----', {body('char(10)')}, char(10), '-----END RSA PRIVATE KEY-----')"),
+        (1, prose, f"concat('-----BEGIN PRIVATE KEY-----', {body('char(10)')})"),
+        (1, prose, f"concat('private_key\": \"-----BEGIN PRIVATE KEY-----', {body("concat(char(92), 'n')")}, '-----END PRIVATE KEY-----')"),
         (0, f"concat({prose}, 'commit ')", f"substr({hex_}, 1, 40)"),
         (0, f"concat({prose}, element_at(array('md5 ', 'checksum ', 'sha256: ', 'digest='), 1 + cast(id % 4 as int)))", f"substr({hex_}, 1, element_at(array(32, 40, 64), 1 + cast(id % 3 as int)))"),
         (0, prose, f"concat(substr({hex_}, 1, 8), '-', substr({hex_}, 9, 4), '-4', substr({hex_}, 13, 3), '-', substr({hex_}, 16, 4), '-', substr({hex_}, 20, 12))"),
