@@ -221,6 +221,25 @@ def test_trace_intake_refuses(spark, tmp_path):
     assert [(r.pos, r.key) for r in good.orderBy("pos").collect()] == [(0, 1), (1, 2), (2, 3)] and [r.raw for r in bad.collect()] == ["x"]
 
 
+def test_sign_flips_of_large_groups(spark):
+    values = [("far", 1.0 + k % 3) for k in range(60)] + [("even", float(k % 2 * 2 - 1)) for k in range(40)] + [("edge", x / 10) for x in range(-7, 14)]
+    values += [("small", 1.0)] * 4 + [(None, 1.0)] * 21 + [("none", None)]
+    df = spark.createDataFrame(values, "g string, v double")
+    got = {r.g: r.p_value for r in stats.sign_flip(df, ["g"], "v").collect()}
+    counts = {0: 1}  # exact distribution of the signed sums of "edge", in tenths
+    for x in range(-7, 14):
+        nxt = {}
+        for s, n in counts.items():
+            for y in (s + x, s - x):
+                nxt[y] = nxt.get(y, 0) + n
+        counts = nxt
+    edge = sum(n for s, n in counts.items() if s >= sum(range(-7, 14))) / 2**21
+    assert got["far"] == got[None] == round(1 / 2001, 8) and abs(got["even"] - 0.563) < 0.05 and abs(got["edge"] - edge) < 0.05
+    assert got["small"] == 0.0625 and got["none"] is None and len(got) == 6
+    again = stats.sign_flip(df.repartition(7), ["g"], "v").collect()
+    assert {r.g: r.p_value for r in again} == got
+
+
 def test_artifacts_and_samples(spark, tmp_path):
     store = str(tmp_path / "artifacts")
     artifacts.store(spark.createDataFrame([("a",), ("b",), ("a",)], "content string"), store)

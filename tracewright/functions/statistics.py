@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -179,17 +180,32 @@ def bootstrap_mean(rows: DataFrame, by: list[str], value: str, order: str, round
     return rows.groupBy(*by).applyInPandas(interval, f"{kinds}, mean double, low double, high double")
 
 
-def sign_flip(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Exact one-sided sign-flip randomisation of the mean for at most 20 values a group; null for more.
+def sign_flip(rows: DataFrame, by: list[str], value: str, rounds: int = 2000, seed: int = 1337) -> DataFrame:
+    """One-sided sign-flip randomisation of the mean: exact for at most 20 values a group, else ``rounds`` draws of all signs and
+    (hits + 1) / (rounds + 1). Null values count for nothing; a group without values has a null p_value.
 
-    All 2^n sign patterns are rows of a range, exploded against the group's array."""
-    groups = rows.groupBy(*by).agg(F.array_sort(F.collect_list(value)).alias("_v"))
-    small = groups.withColumn("_n", F.size("_v"))
+    All 2^n sign patterns are rows of a range, exploded against the small group's array. Signs of larger groups are bits of hashes of
+    the value's place among equal ones, so draws don't depend on the order of rows; 32 rounds are summed at once and no group is collected."""
+    if rounds < 1000:
+        raise ValueError("rounds must be at least 1000")
+    counted = rows.groupBy(*by).agg(F.count(value).alias("_n"))
+    least = counted.where("_n <= 20").select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)])
+    same = lambda: reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)], F.lit(True))
+    small = rows.join(least, same(), "left_semi").groupBy(*by).agg(F.array_sort(F.collect_list(value)).alias("_v")).withColumn("_n", F.size("_v")).where("_n > 0")
     flips = small.where("_n <= 20").select(*by, "_v", "_n", F.explode(F.expr("sequence(0L, shiftleft(1L, _n) - 1)")).alias("_mask"))
     stat = F.expr("aggregate(transform(_v, (x, i) -> if((shiftright(_mask, i) & 1) = 1, -x, x)), cast(0 as double), (a, x) -> a + x) / _n")
     seen = F.expr("aggregate(_v, cast(0 as double), (a, x) -> a + x) / _n")
     exact = flips.groupBy(*by).agg(F.round(F.avg((stat >= seen - 1e-15).cast("double")), 8).alias("p_value"))
-    return groups.select(*by).join(exact, by, "left")
+    tied = rows.where(F.col(value).isNotNull()).join(least, same(), "left_anti").groupBy(*by, F.col(value).cast("double").alias("_x")).agg(F.count("*").alias("_c"))
+    each = tied.select(*by, "_x", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_c"))).alias("_c"))
+    words = each.select(*by, "_x", "_c", F.explode(F.sequence(F.lit(0), F.lit(-(-rounds // 32) - 1))).alias("_w"))
+    bits = F.xxhash64(F.lit(seed), "_w", "_x", "_c")
+    signed = [F.sum(F.when(F.shiftright(bits, k).bitwiseAND(F.lit(1)) == 1, F.col("_x")).otherwise(-F.col("_x"))).alias(f"_s{k}") for k in range(32)]
+    sums = words.groupBy(*by, "_w").agg(F.sum("_x").alias("_t"), F.count("*").alias("_n"), *signed)
+    hit = lambda k: ((F.col("_w") * 32 + k < rounds) & (F.col(f"_s{k}") / F.col("_n") >= F.col("_t") / F.col("_n") - 1e-15)).cast("long")
+    drawn = sums.groupBy(*by).agg(F.round((F.sum(reduce(lambda a, b: a + b, map(hit, range(32)))) + 1) / (rounds + 1), 8).alias("p_value"))
+    known = exact.unionByName(drawn).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], "p_value")
+    return counted.select(*by).join(known, same(), "left").select(*by, "p_value")
 
 
 def normal_equations(rows: DataFrame, y: str, xs: list[str]) -> dict[str, float]:
@@ -357,6 +373,11 @@ def _sign_flip(spark, sf_dir):
     return sign_flip(nation.groupBy("n_regionkey", "n_name").agg((F.round(F.avg("c_acctbal"), 2) - 4500).alias("v")), ["n_regionkey"], "v")
 
 
+@query("sign_flip_monte_carlo")
+def _sign_flip_drawn(spark, sf_dir):
+    return sign_flip(table(spark, sf_dir, "customer").select("c_nationkey", (F.col("c_acctbal") - 4500).alias("v")), ["c_nationkey"], "v")
+
+
 @query(
     "linear_fit",
     "SELECT round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 8) AS r2 FROM lineitem",
