@@ -240,6 +240,20 @@ def test_sign_flips_of_large_groups(spark):
     assert {r.g: r.p_value for r in again} == got
 
 
+def test_verifiers_and_pairs_of_every_quantity(spark, sf_dir):
+    from pyspark.sql import Window
+
+    from tracewright import catalogue, registry
+
+    catalogue.load()
+    lines = registry.table(spark, sf_dir, "lineitem")
+    pairs = registry.QUERIES["complete_pairs_whole"](spark, sf_dir)
+    assert pairs.where("l_quantity <> 7").count() > 0 and pairs.where("l_quantity = 7").drop("l_quantity").exceptAll(registry.QUERIES["complete_pairs"](spark, sf_dir)).count() == 0
+    counted = registry.QUERIES["shared_verifiers_whole"](spark, sf_dir)
+    own = lines.where("l_quantity <> 11").select("l_returnflag", "l_suppkey", "l_orderkey").distinct().withColumn("c", F.count("*").over(Window.partitionBy("l_returnflag", "l_suppkey"))).where("c > 1")
+    assert own.count() > 0 and own.join(counted, ["l_returnflag", "l_suppkey"], "left_anti").count() == 0
+
+
 def test_artifacts_and_samples(spark, tmp_path):
     store = str(tmp_path / "artifacts")
     artifacts.store(spark.createDataFrame([("a",), ("b",), ("a",)], "content string"), store)

@@ -185,6 +185,11 @@ def _verifiers(spark, sf_dir):
     return shared_verifiers(table(spark, sf_dir, "lineitem").where("l_quantity = 11"), "l_returnflag", "l_orderkey", "l_suppkey")
 
 
+@query("shared_verifiers_whole", "SELECT l_returnflag, l_suppkey, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_orderkey) > 1")
+def _verifiers_whole(spark, sf_dir):
+    return shared_verifiers(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_orderkey", "l_suppkey")
+
+
 @query(
     "decision_freshness",
     "SELECT event_id, CASE WHEN event_type = 'error' THEN 'UNKNOWN' WHEN user_id % 7 <> (user_id * 3 + event_id) % 7 THEN 'DRIFTED' WHEN 10000 - event_id > 5000 THEN 'STALE' ELSE 'FRESH' END AS freshness FROM events",

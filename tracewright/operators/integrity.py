@@ -136,6 +136,14 @@ def _complete_pairs(spark, sf_dir):
     return complete_pairs(table(spark, sf_dir, "lineitem").where("l_quantity = 7"), ["l_suppkey", "l_linenumber"], "l_returnflag", ["A", "N", "R"])
 
 
+@query(
+    "complete_pairs_whole",
+    "SELECT l_suppkey, l_linenumber, l_quantity FROM lineitem WHERE l_returnflag IN ('A', 'N', 'R') GROUP BY 1, 2, 3 HAVING count(DISTINCT l_returnflag) = 3 AND count(*) = 3",
+)
+def _complete_pairs_whole(spark, sf_dir):
+    return complete_pairs(table(spark, sf_dir, "lineitem"), ["l_suppkey", "l_linenumber", "l_quantity"], "l_returnflag", ["A", "N", "R"])
+
+
 @query("workload_summaries", "SELECT c_custkey, c_mktsegment, count(o_orderkey) AS n, max(o_orderdate) AS last FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2")
 def _summaries(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderdate")
