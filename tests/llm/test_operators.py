@@ -10,6 +10,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tracewright.llm import byte_cnn, components, fingerprints, mixing, packing, quality_rules, secrets, simhash, suffix_arrays, toxicity, url_filters
@@ -280,24 +282,62 @@ def test_first_fit_equals_a_scan():
     assert list(zip(*packing.first_fit(sizes, 64))) == want
 
 
-def test_mixing_keeps_all_rows_and_targets(docs, rows):
-    mixed = mixing.mix(docs.withColumn("slot", F.lit("clash")), {"s0": 3.0}, block_chars=500, period=50).collect()
-    assert Counter(r.doc_id for r in mixed) == Counter(r[0] for r in rows)
-    blocks, plan = mixing.plan(docs, {"s0": 3.0}, block_chars=500, period=50)
-    at = {}
-    for s, first, end, slot, n, period, places in plan:
-        for j in range(end - first):
-            at[slot + j // n * period + places[j % n]] = s
-    assert sorted(at) == list(range(sum(blocks.values())))
-    assert all(at[r.slot] == (r.source or "\0null") and r.release <= r.slot < r.deadline for r in mixed)
-    begins = sorted({p[3] for p in plan})
-    for a, b in zip(begins, [*begins[1:], len(at)]):
-        share, done = {p[0]: p[4] / p[5] for p in plan if p[3] == a}, Counter()
-        for t in range(a, b):
-            done[at[t]] += 1
-            assert all(abs(done[s] - w * (t - a + 1)) < 1 for s, w in share.items())
+def within_one_block(blocks, weights, frame=7):
+    """Every slot of every phase: each source within one block of its exact share; every block once, inside its window."""
+    from fractions import Fraction
+
+    seen, slots = Counter(), 0
+    for _, slot, names, p, before, frames in mixing.phases(blocks, weights, frame):
+        length = frames[-1][1]
+        assert slot == slots and before == [seen[s] for s in names]
+        total = sum(Fraction(str(weights[s])) for s in names)
+        share = [Fraction(str(weights[s])) / total for s in names]
+        placed = [x for f in frames for x in mixing.frame_slots(p, *f)]
+        assert [t for _, _, t, _, _ in placed] == list(range(length))
+        done = [0] * len(names)
+        for s, j, t, release, deadline in placed:
+            assert release <= t < deadline and j == done[s] and (release, deadline) == (j / share[s] // 1, -(-(j + 1) / share[s] // 1))
+            done[s] += 1
+            assert all(abs(done[i] - w * (t + 1)) < 1 for i, w in (enumerate(share) if len(share) < 40 else [(s, share[s]), (t % len(share), share[t % len(share)])]))
+        for s, n in zip(names, done):
+            seen[s] += n
+        slots += length
+    assert seen == Counter(blocks) and slots == sum(blocks.values())
+
+
+def test_each_source_keeps_to_its_exact_weight():
+    within_one_block({"a": 300, "b": 300, "c": 300}, {"a": 1, "b": 1, "c": 1})
+    within_one_block({"a": 40, "b": 90, "c": 60, "d": 70}, {"a": 4, "b": 2, "c": 2, "d": 1})
+    within_one_block({"a": 1, "b": 900, "c": 2}, {"a": 0.001, "b": 0.9, "c": 1e-9}, 64)
+    within_one_block({f"s{i}": 1 + i % 5 for i in range(600)}, {f"s{i}": 1 + i % 7 for i in range(600)}, 400)
+    within_one_block({"heavy": 2000, **{f"s{i}": 1 for i in range(400)}}, {"heavy": 100_000, **{f"s{i}": 1 for i in range(400)}}, 500)
+    within_one_block({"a": 50, "b": 50}, {"a": 2.0**60 + 1, "b": 3.0**40}, 9)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 40), st.one_of(st.integers(1, 30), st.decimals("0.01", "5", places=2).map(float))), min_size=1, max_size=9), st.integers(1, 50))
+def test_shares_hold_for_any_weights_and_frames(sources, frame):
+    within_one_block({f"s{i}": n for i, (n, _) in enumerate(sources)}, {f"s{i}": w for i, (_, w) in enumerate(sources)}, frame)
+
+
+def test_mixing_keeps_all_rows_and_cuts_equal_blocks(spark, docs, rows):
+    mixed = mixing.mix(docs.withColumn("slot", F.lit("clash")), {"s0": 3.0}, block_chars=500, frame=8).collect()
+    assert Counter((r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in mixed) == Counter(rows)
+    blocks, weights = mixing.plan(docs, {"s0": 3.0}, block_chars=500)
+    assert weights == {s: 3.0 if s == "s0" else 1.0 for s in blocks}
+    assert all(r.release <= r.slot < r.deadline and r.block < blocks[r.source or "\0null"] for r in mixed)
+    placed = mixing.schedule(spark, blocks, weights, 8).collect()
+    assert sorted(r.slot for r in placed) == list(range(sum(blocks.values()))) and len({(r["_s"], r.block) for r in placed}) == len(placed)
+    at = {(r["_s"], r.block): r.slot for r in placed}
+    assert all(at[r.source or "\0null", r.block] == r.slot for r in mixed)
+    for s in blocks:  # offsets are running sums, blocks begin at multiples of the size
+        own = sorted((r for r in mixed if (r.source or "\0null") == s), key=lambda r: (r.mix_order, len(r.text or "")))
+        assert [r.mix_order for r in own] == np.cumsum([0, *(len(r.text or "") for r in own)])[:-1].tolist()
+        assert all(r.block == min(r.mix_order // 500, blocks[s] - 1) for r in own)
     with pytest.raises(ValueError):
         mixing.plan(docs, {"s0": 0.0})
+    same = spark.createDataFrame([(None, "x" * 99, None, "a", 1)] * 400 + [(1, "y" * 50, None, "b", 1)] * 100, SCHEMA)  # one key, one text
+    assert max(Counter((r.source, r.block) for r in mixing.mix(same, block_chars=1000).collect()).values()) <= 20
 
 
 def test_secret_scan_and_redaction(spark, docs, rows):

@@ -31,7 +31,7 @@ def test_stages(spark):
     assert ids(first) == ids(second) and second.where("n_chars <> char_length(text)").count() == 0
     first, second = seen["mixing"]
     assert sorted(map(tuple, first.collect()), key=repr) == sorted(map(tuple, second.collect()), key=repr)
-    slots = {r.doc_id: (r.slot, r.mix_order, r.doc_id) for r in mixing.mix(first, mixing.WEIGHTS).collect()}
+    slots = {r.doc_id: (r.slot, r.mix_order) for r in mixing.mix(first, mixing.WEIGHTS).collect()}
     order = [slots[r.doc_id] for r in corpus_pipeline.mixed_sources(spark, first, sf_dir).collect()]
     assert order == sorted(order)
     first, second = seen["packing"]
