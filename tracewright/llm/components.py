@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import discard, materialize
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -19,13 +19,17 @@ def _state(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "large-star")
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    out = materialize(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+    discard(least)
+    return out
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")), "small-star")
     moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    out = materialize(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
+    discard(least)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -35,7 +39,9 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(oriented, "links")
     state = _state(now)
     while True:
-        now = materialize(_small_star(materialize(_large_star(now), "large")), "small")
-        before, state = state, _state(now)
+        large = _large_star(now)
+        after = _small_star(large)
+        discard(now, large)
+        now, before, state = after, state, _state(after)
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -3,28 +3,48 @@
 from __future__ import annotations
 
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; the warehouse, shared as well, where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+    """``spark.checkpoint.dir`` of the session; where it is unset, as in tests, a folder of the warehouse, with a warning on a cluster."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        warnings.warn("spark.checkpoint.dir is unset: tables go to the warehouse, which all executors must share", stacklevel=3)
+    return spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+
+
+def _location(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return it read back.
 
     A reliable checkpoint() would run the plan twice (once to count, once to write); a table runs it once.
-    The table goes when the application ends.
+    The table goes with ``discard``, or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    at, files = _location(spark, path)
+    files.deleteOnExit(at)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._scratch_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` returned, once all that reads them is written itself. Other DataFrames are left alone."""
+    for df in tables:
+        if path := getattr(df, "_scratch_path", None):
+            at, files = _location(df.sparkSession, path)
+            files.delete(at, True)
+            files.cancelDeleteOnExit(at)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
