@@ -6,10 +6,12 @@ between classes, distinct characters, runs, dictionary coverage, whether it is p
 words stand before it. ``scan`` only moves candidates, never texts; ``redact`` moves the texts of documents with candidates.
 
 Labelled findings are rows (before, candidate, after, path, label). ``labelled_findings`` builds the default set of
-``N_LABELLED`` rows from templates and a hash; any other such table can teach the forest.
+``N_LABELLED`` rows from templates and a hash; any other such table can teach the forest. Tests hold the forest against findings of
+other templates.
 
 Defined results: null and empty texts have no candidates. Candidates don't overlap; the leftmost wins. Repeated rows are scanned
-one by one. ``redact`` keeps all columns and rows, and null texts as they are.
+one by one. ``redact`` keeps all columns and rows, null texts as they are, and columns of any name (it works on copies of its own). An
+empty table gives no rows. A text of any length is scanned whole, within its row.
 """
 
 from __future__ import annotations
@@ -21,9 +23,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scratch import documents
+from .scratch import documents, materialize
 
-N_LABELLED = 6000
+N_LABELLED = 9000
 TREES, DEPTH, SEED = 24, 8, 17
 THRESHOLD = 0.5
 MASK = "[SECRET]"
@@ -63,16 +65,40 @@ BEFORE = 80
 AFTER = 40
 
 
-def candidates(docs: DataFrame, keep: list[str], text: str = "text", path: str | None = "source") -> DataFrame:
+def _found(text: str) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CANDIDATE), F.lit(0))
+
+
+def _pieces(text: str, found: str) -> Column:
+    """The text between candidates; only texts that have any are cut."""
+    return F.when(F.size(found) > 0, F.split(text, CANDIDATE, -1))
+
+
+def _each(found: str, pieces: str) -> Column:
+    """Candidates with what stands around them."""
+
+    def own(p: Column) -> Column:
+        return F.transform(
+            found,
+            lambda c, i: F.struct(
+                i.alias("ordinal"), F.length(p[i]).cast("long").alias("piece_chars"), F.right(p[i], F.lit(BEFORE)).alias("before"), c.alias("candidate"), F.left(p[i + 1], F.lit(AFTER)).alias("after")
+            ),
+        )
+
+    return F.element_at(F.transform(F.array(pieces), own), 1)
+
+
+def _parted(docs: DataFrame, keep: list[Column | str], text: str, path: str | None) -> DataFrame:
+    """The columns ``keep``, and _path, _found and _pieces of each text. The pattern runs once over a text without candidates."""
+    cut = docs.select(*keep, (F.col(path) if path else F.lit("")).cast("string").alias("_path"), F.col(text).alias("_text"), _found(text).alias("_found"))
+    return cut.withColumn("_pieces", _pieces("_text", "_found")).drop("_text")
+
+
+def candidates(docs: DataFrame, keep: list[Column | str], text: str = "text", path: str | None = "source") -> DataFrame:
     """A row a candidate: the columns ``keep``, ordinal, piece_chars, before, candidate, after, path."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CANDIDATE), F.lit(0))
-    cut = docs.select(*keep, F.col(path).alias("_path") if path else F.lit("").alias("_path"), F.col(text).alias("_text"), found.alias("_found")).where("size(_found) > 0")
-    cut = cut.withColumn("_pieces", F.split("_text", CANDIDATE, -1))
-    each = F.expr(
-        f"""transform(_found, (c, i) -> struct(i AS ordinal, cast(length(_pieces[i]) as bigint) AS piece_chars,
-          right(_pieces[i], {BEFORE}) AS before, c AS candidate, left(_pieces[i + 1], {AFTER}) AS after))"""
-    )
-    return cut.select(*keep, "_path", F.explode(each).alias("_c")).select(*keep, "_c.*", F.col("_path").alias("path"))
+    cut = _parted(docs, keep, text, path)
+    names = cut.columns[: len(keep)]
+    return cut.select(*names, "_path", F.explode(_each("_found", "_pieces")).alias("_c")).select(*names, "_c.*", F.col("_path").alias("path"))
 
 
 def kind(candidate: Column) -> Column:
@@ -123,47 +149,61 @@ def labelled_findings(spark: SparkSession, n: int = N_LABELLED) -> DataFrame:
     b64 = "translate(base64(unhex(sha2(concat('b', id), 512))), '=', '')"
     alnum = f"regexp_replace({b64}, '[+/]', 'q')"
     caps = f"regexp_replace(upper({alnum}), '[018]', 'K')"
-    word = "element_at(split('thing other value about people north water house under story point light night world', ' '), 1 + cast(pmod(xxhash64(id, {}), 14) as int))"
-    w = [word.format(k) for k in range(4)]
+    words = "thing other value about people north water house under story point light night world reader batch cache table order queue label frame store event width count image theme group media".split()
+    pick = lambda options, k: f"element_at(array({', '.join(x[4:] if x.startswith('sql:') else repr(x) for x in options)}), 1 + cast(pmod(xxhash64(id, {k}), {len(options)}) as int))"
+    w = [f"w{k}" for k in range(5)]
     size = "(16 + cast(pmod(xxhash64(id, 9), 25) as int))"
-    name = "element_at(split('password token secret api_key access_key pwd client_secret', ' '), 1 + cast(pmod(xxhash64(id, 7), 7) as int))"
-    equal = "element_at(array('=', ' = ', ': ', ' = \"', ': \"'), 1 + cast(pmod(xxhash64(id, 8), 5) as int))"
-    shut = "if(pmod(xxhash64(id, 8), 5) >= 3, '\"', '')"
-    prose = f"concat({w[0]}, ' ', {w[1]}, ' and ', {w[2]}, ' ')"
+    name = pick("password token secret api_key access_key pwd client_secret apikey auth_key passwd PASSWORD API_KEY".split(), 7)
+    equal = pick(["=", " = ", ": ", ' = "', ': "', '="'], 8)
+    shut = "if(pmod(xxhash64(id, 8), 6) >= 3, '\"', '')"
+    prose = pick([f"sql:concat({w[0]}, ' ', {w[1]}, ' and ', {w[2]}, ' ')", f"sql:concat('export ', upper({w[0]}), '_')", f"sql:concat({w[0]}, ', ', {w[1]}, '.\n')", "sql:''", f"sql:concat('const ', {w[0]}, ' = {{ ')"], 10)
+    call = pick([f"sql:concat({w[0]}, '.', {w[1]}, '(')", "sql:'os.environ[\"'", "sql:'process.env.'", "sql:'${'", f"sql:concat('get_', {w[0]}, '(')", "sql:'settings.'", "sql:'{{ '", "sql:'str = Field('", f"sql:concat({w[0]}, '_', {w[1]}, '[')"], 11)
     body = lambda end: f"concat_ws({end}, '', repeat(concat(substr({b64}, 1, 64), {end}), 1 + cast(pmod(xxhash64(id, 5), 20) as int)), concat(substr({b64}, 65), '='))"
+    fakes = ["changeme123", "your_password_here", "example_value_1", "xxxxxxxxxxxxxxxx", "test_secret_key", "placeholder01", "<your-token>", "YOUR_API_KEY", "****************", "insert_key_here", "dummy-token-12", "undefined", "required"]
+    digest = pick(["md5 ", "checksum ", "sha256: ", "digest=", "sha1 ", "revision ", "etag: ", "commit ", "blob/", "tree/", "integrity sha512-", "hash "], 12)
     templates = [
         (1, prose, f"concat({name}, {equal}, substr({hex_}, 1, {size}), {shut})"),
         (1, prose, f"concat({name}, {equal}, substr({alnum}, 1, {size}), {shut})"),
         (1, prose, f"concat({name}, {equal}, substr({b64}, 1, {size} + 8), {shut})"),
+        (1, prose, f"concat({name}, {equal}, initcap({w[0]}), substr({hex_}, 1, 3), '!', {w[1]}, {shut})"),
         (1, prose, f"concat('AKIA', substr({caps}, 1, 16))"),
-        (1, f"concat('key id ', {w[0]}, ': ')", f"concat('AKIA', substr({caps}, 1, 16))"),
+        (1, f"concat('key id ', {w[0]}, ': ')", f"concat('ASIA', substr({caps}, 1, 16))"),
         (1, prose, f"concat('ghp_', substr({alnum}, 1, 36))"),
+        (1, prose, f"concat('xoxb-', substr({alnum}, 1, 12), '-', substr({alnum}, 20, 24))"),
         (1, prose, f"concat('eyJ', substr({alnum}, 1, 30), '.', substr({alnum}, 31, 40))"),
         (1, f"concat({prose}, 'bearer credential ')", f"substr({alnum}, 1, {size} + 6)"),
+        (1, f"concat({prose}, {pick(['Authorization: Bearer ', 'credential ', 'access key ', 'the token is ', 'secret '], 13)})", f"substr({alnum}, 1, {size} + 8)"),
         (1, prose, "'-----BEGIN RSA PRIVATE KEY-----'"),
         (1, prose, f"concat('-----BEGIN RSA PRIVATE KEY-----', {body('char(10)')}, char(10), '-----END RSA PRIVATE KEY-----')"),
         (1, prose, f"concat('-----BEGIN PRIVATE KEY-----', {body('char(10)')})"),
         (1, prose, f"concat('private_key\": \"-----BEGIN PRIVATE KEY-----', {body("concat(char(92), 'n')")}, '-----END PRIVATE KEY-----')"),
-        (0, f"concat({prose}, 'commit ')", f"substr({hex_}, 1, 40)"),
-        (0, f"concat({prose}, element_at(array('md5 ', 'checksum ', 'sha256: ', 'digest='), 1 + cast(id % 4 as int)))", f"substr({hex_}, 1, element_at(array(32, 40, 64), 1 + cast(id % 3 as int)))"),
-        (0, prose, f"concat(substr({hex_}, 1, 8), '-', substr({hex_}, 9, 4), '-4', substr({hex_}, 13, 3), '-', substr({hex_}, 16, 4), '-', substr({hex_}, 20, 12))"),
-        (0, prose, f"concat({name}, {equal}, element_at(array('changeme123', 'your_password_here', 'example_value_1', 'xxxxxxxxxxxxxxxx', 'test_secret_key', 'placeholder01'), 1 + cast(id % 6 as int)), {shut})"),
-        (0, prose, f"concat({name}, {equal}, {w[0]}, '.', {w[1]}, '(', {w[2]}, ')')"),
+        (0, f"concat({prose}, {digest})", f"substr({hex_}, 1, {pick(['sql:32', 'sql:40', 'sql:64', 'sql:128'], 14)})"),
+        (0, f"concat({prose}, {digest})", f"substr({b64}, 1, {pick(['sql:43', 'sql:64', 'sql:86'], 14)})"),
+        (0, f"concat({prose}, {pick(['id ', 'uuid: ', 'request ', 'trace_id=', 'session/', ''], 15)})", f"concat(substr({hex_}, 1, 8), '-', substr({hex_}, 9, 4), '-4', substr({hex_}, 13, 3), '-', substr({hex_}, 16, 4), '-', substr({hex_}, 20, 12))"),
+        (0, prose, f"concat({name}, {equal}, {pick(fakes, 16)}, {shut})"),
+        (0, prose, f"concat({name}, {equal}, {call}, {w[2]}, {pick([')', ']', '}', '', '\")', ' }}', '...)'], 17)})"),
+        (0, prose, f"concat({name}, {equal}, {call}, upper({w[2]}), '_', upper({w[3]}), {pick([')', ']', '}', '', '\"]', ');'], 17)})"),
         (0, prose, f"concat({name}, {equal}, {w[0]}, '_', {w[1]}, '_', {w[2]}, {shut})"),
+        (0, prose, f"concat({name}, {equal}, {w[0]}, initcap({w[1]}), initcap({w[2]}), {pick([';', ',', '', ')'], 18)})"),
+        (0, prose, f"concat({name}, {equal}, '/', {w[0]}, '/', {w[1]}, '/', {w[2]}, {pick(['.txt', '.json', '', '.key'], 18)}, {shut})"),
         (0, f"concat('see https://host.example/', {w[3]}, '/')", f"concat({w[0]}, '-', {w[1]}, '-', {w[2]}, '-20', lpad(id % 30, 2, '0'), '-', {w[3]})"),
+        (0, f"concat({prose}, {pick(['assets/', 'static/js/', 'img/', 'docs/', 'build-'], 19)})", f"concat({w[0]}, '-', {w[1]}, '_', {w[2]}, '-v', id % 9, '-', substr({hex_}, 1, 8))"),
         (0, prose, "concat('AKIA', element_at(array('IOSFODNN7EXAMPLE', 'XXXXXXXXXXXXXXXX', 'EXAMPLEKEYID0000'), 1 + cast(id % 3 as int)))"),
-        (0, f"concat({prose}, 'order ')", f"substr(conv(substr({hex_}, 1, 15), 16, 10) || conv(substr({hex_}, 16, 15), 16, 10), 1, 22)"),
-        (0, prose, f"concat({w[0]}, initcap({w[1]}), 'By', initcap({w[2]}), id % 9, initcap({w[3]}), 'Factory')"),
+        (0, f"concat({prose}, {pick(['order ', 'invoice ', 'account no. ', 'isbn ', 'phone ', 'part '], 20)})", f"substr(conv(substr({hex_}, 1, 15), 16, 10) || conv(substr({hex_}, 16, 15), 16, 10), 1, 22)"),
+        (0, prose, f"concat({w[0]}, initcap({w[1]}), 'By', initcap({w[2]}), id % 9, initcap({w[3]}), {pick(['Factory', 'Test', 'Handler', 'View'], 21)})"),
+        (0, prose, f"concat({pick(['test_', 'use_', 'max_', 'is_'], 21)}, {w[0]}, '_', {w[1]}, '_', {w[2]}, '_', id % 100)"),
         (0, "'<img src=data:image/png;base64,'", f"concat({b64}, {b64})"),
-        (0, f"concat({prose}, '/usr/local/')", f"concat({w[0]}, '/', {w[1]}, '/', {w[2]}, '/', {w[3]}, id % 7)"),
+        (0, f"concat({prose}, {pick(['/usr/local/', 'C:/', './', 'lib/', 'com/'], 22)})", f"concat({w[0]}, '/', {w[1]}, '/', {w[2]}, '/', {w[3]}, id % 7)"),
     ]
     case = lambda part: "CASE " + " ".join(f"WHEN id % {len(templates)} = {i} THEN {t[part]}" for i, t in enumerate(templates)) + " END"
     path = "element_at(array('src/main/app.conf', 'tests/fixture.txt', 'web', 'notes', 'docs/example.md', ''), 1 + cast(pmod(xxhash64(id, 6), 6) as int))"
-    return spark.range(n).selectExpr(f"{case(1)} AS before", f"{case(2)} AS candidate", f"concat(' ', {w[3]}, ' ', {w[2]}) AS after", f"{path} AS path", f"cast({case(0)} as double) AS label")
+    after = pick([f"sql:concat(' ', {w[3]}, ' ', {w[2]})", "sql:'\n'", "sql:''", f"sql:concat('; // ', {w[4]})", f"sql:concat(', ', {w[3]})"], 23)
+    rows = spark.range(n).selectExpr("id", *[f"{pick(words, k)} AS w{k}" for k in range(5)])
+    return rows.selectExpr(f"{case(1)} AS before", f"{case(2)} AS candidate", f"{after} AS after", f"{path} AS path", f"cast({case(0)} as double) AS label")
 
 
 def train(labelled: DataFrame) -> RandomForestClassificationModel:
-    rows, names = features(labelled)
+    rows, names = features(materialize(labelled, "findings"))  # else each feature holds the templates' expression again
     ready = VectorAssembler(inputCols=names, outputCol="_features").transform(rows).select("_features", "label")
     return RandomForestClassifier(featuresCol="_features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(ready)
 
@@ -178,24 +218,25 @@ def scored(found: DataFrame, model: RandomForestClassificationModel) -> DataFram
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel, key: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
     """Rows (key, ordinal, start, length, kind, score, is_secret); start and length in code points."""
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    found = scored(candidates(rows, ["_row", key], text, path), model)
+    found = scored(candidates(docs, [F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key")], text, path), model)
     before = W.partitionBy("_row").orderBy("ordinal").rowsBetween(W.unboundedPreceding, 0)
     start = F.sum(F.col("piece_chars") + F.length("candidate")).over(before) - F.length("candidate")
-    return found.select(key, F.col("ordinal").cast("long").alias("ordinal"), start.alias("start"), F.length("candidate").cast("long").alias("length"), "kind", "score", "is_secret")
+    return found.select(F.col("_key").alias(key), F.col("ordinal").cast("long").alias("ordinal"), start.alias("start"), F.length("candidate").cast("long").alias("length"), "kind", "score", "is_secret")
 
 
 def redact(docs: DataFrame, model: RandomForestClassificationModel, text: str = "text", path: str | None = "source", mask: str = MASK) -> DataFrame:
-    """The same rows and columns, every secret in ``text`` replaced by ``mask``."""
-    has = F.coalesce(F.col(text), F.lit("")).rlike(CANDIDATE)
-    rows = docs.where(has).select("*", F.monotonically_increasing_id().alias("_row"), F.struct(*docs.columns).alias("_doc"))
-    found = scored(candidates(rows, ["_row", "_doc"], text, path).withColumn("_doc", F.when(F.col("ordinal") == 0, F.col("_doc"))), model)
+    """The same rows and columns, every secret in ``text`` replaced by ``mask``. Texts are scanned once and written with their candidates; those
+    without any stay where they are."""
+    row = F.monotonically_increasing_id().alias("_row")
+    held = materialize(_parted(docs, [row, F.struct(*docs.columns).alias("_doc")], text, path), "scanned")
+    some = held.where(F.size("_found") > 0)
+    found = scored(some.select("_row", "_path", F.explode(_each("_found", "_pieces")).alias("_c")).select("_row", "_c.*", F.col("_path").alias("path")), model)
     now = F.struct("ordinal", F.when(F.col("is_secret"), mask).otherwise(F.col("candidate")).alias("now"))
-    whole = found.groupBy("_row").agg(F.any_value("_doc", F.lit(True)).alias("_doc"), F.array_sort(F.collect_list(now)).alias("_now"))
+    whole = found.groupBy("_row").agg(F.array_sort(F.collect_list(now)).alias("_now"))
     filled = F.concat(F.transform("_now", lambda x: x["now"]), F.array(F.lit("")))
-    joined = F.array_join(F.zip_with(F.split(F.col("_doc")[text], CANDIDATE, -1), filled, lambda a, b: F.concat(a, b)), "")
-    changed = whole.select(*[(joined if c == text else F.col("_doc")[c]).alias(c) for c in docs.columns])
-    return docs.where(~has).unionByName(changed)
+    joined = F.array_join(F.zip_with("_pieces", filled, lambda a, b: F.concat(a, b)), "")
+    changed = some.join(whole, "_row").select(*[(joined if c == text else F.col("_doc")[c]).alias(c) for c in docs.columns])
+    return held.where(F.size("_found") == 0).select("_doc.*").unionByName(changed)
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
