@@ -195,7 +195,50 @@ def test_sketches(docs, rows, spark):
     assert merged.fingerprint == fingerprints.encode(fingerprints.merge([fingerprints.sketch((r[1] or "").encode()) for r in rows]))
 
 
-@pytest.mark.parametrize("shard", [1000, 2])
+def repeated(rows):
+    """(key, bytes, spans, kept) of rows (key, text), by a table of all 200-byte strings."""
+    texts = [(t or "").encode() for _, t in rows]
+    counts = Counter(b[x : x + 200] for b in texts for x in range(len(b) - 199))
+    want = Counter()
+    for (key, _), b in zip(rows, texts):
+        gone = np.zeros(len(b), bool)
+        for x in range(len(b) - 199):
+            if counts[b[x : x + 200]] > 1:
+                gone[x : x + 200] = True
+        spans = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(int))).tolist()
+        want[key, len(b), tuple(spans), np.frombuffer(b, np.uint8)[~gone].tobytes()] += 1
+    return want
+
+
+def removed(df):
+    return Counter((r.doc_id, r.n_bytes, tuple(r.spans), bytes(r.kept)) for r in suffix_arrays.remove_repeats(df).collect())
+
+
+def test_long_texts_runs_and_equal_rows(spark, monkeypatch):
+    rng = random.Random(12)
+    long = "".join(rng.choice("abcdefghij") for _ in range(9000))
+    rows = [(1, long), (2, long[4000:4700] + "zz"), (3, "ab" * 900), (4, "x" + "ab" * 500), (5, long[3900:4300] + long[8800:]), *[(9, "equal " * 50 + long[:300])] * 400, (None, "no repeat " + "".join(map(str, range(99))))]
+    monkeypatch.setattr(suffix_arrays, "WORK", 1500)
+    want = repeated(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert removed(df) == want
+    texts = [t.encode() for _, t in rows[:5]]
+    pieces = [p for p in suffix_arrays._slices(texts)]
+    assert len(pieces) > 5 and all(len(raw) <= 2 * 1500 + 2 * 200 for raw, *_ in pieces)
+    monkeypatch.setattr(suffix_arrays, "RUN", 100)
+    raw = np.frombuffer(b"ab" * 900 + b"\0" * 200, np.uint8)
+    key, at, run, again = suffix_arrays.segments(raw, np.array([0]), np.array([1800]))
+    assert run.max() <= 100 and run.sum() == 1601 and again.all() and at.tolist() == np.cumsum([0, *run.tolist()])[:-1].tolist() and len(set(key.tolist())) == 1
+
+
+def test_texts_above_the_working_size(spark):
+    rng = random.Random(13)
+    long = "".join(rng.choice("abcdefghijklmnop") for _ in range(150_000))
+    rows = [(1, long), (2, long[130_900:131_400] + "q"), (3, "ab" * 40_000), (4, "ab" * 150 + "r")]
+    assert removed(spark.createDataFrame(rows, "doc_id long, text string")) == repeated(rows)
+
+
+@pytest.mark.parametrize("shard", [1 << 18, 700])
 def test_repeated_bytes_against_brute_force(docs, rows, monkeypatch, shard):
     monkeypatch.setattr(suffix_arrays, "SHARD", shard)
     texts = [(r[1] or "").encode() for r in rows]
@@ -215,7 +258,7 @@ def test_rows_with_equal_ids_keep_apart(spark):
     rng = random.Random(6)
     passage = "".join(rng.choice("abcdefgh") for _ in range(300))
     texts = []
-    for i in range(1500):
+    for i in range(2000):
         own = "".join(rng.choice("ijklmnop") for _ in range(250))
         texts.append(own[: i % 200] + (passage if i % 2 else "") + own[i % 200 :])
     counts = Counter(t[x : x + 200] for t in texts for x in range(len(t) - 199))

@@ -5,25 +5,25 @@ A byte goes if a 200-byte string that covers it starts anywhere else too. All wo
 1. Cutting. Each 200-byte window has a key, the least hash of its 64-byte grams; a segment is a run of windows with one key. Equal
    windows have equal keys, so no repeat is lost, and a key that occurs once (and whose gram occurs once in the segment) cannot
    belong to a repeat. Keys are counted by a grouped sum and only segments with a shared key go on.
-2. Equal segments become one row with a count before any text moves. If a key has a single distinct segment, all its windows
-   are repeated or none is.
-3. Shards. The distinct segments of the remaining keys are dealt out by key to shards of about ``SHARD`` segments. Each shard gets a
+2. Equal segments become one row with two of their places before any text moves: two copies show all that thousands would.
+3. Shards. The distinct segments of keys with a repeat are dealt out by key to shards of about ``SHARD`` bytes. Each shard gets a
    suffix array by Larsson-Sadakane refinement (eight bytes first, then doubling, sorted groups left alone) and its common
    prefixes by Kasai's rule (a prefix is one shorter than its left neighbour's unless the preceding bytes differ). A window is
-   repeated if a neighbour shares 200 bytes with it, or its segment occurs twice.
-4. Merging. A key with more distinct segments than a shard holds spans several. Each of those sends sorted runs of digests, one
-   digest a class of equal windows; runs meet by digest range, and each is looked up in the others by binary search. A digest is
+   repeated if a neighbour in suffix order shares 200 bytes with it.
+4. Merging. A key with more bytes of distinct segments than a shard holds spans several. Each of those sends sorted runs of digests, one
+   digest a class of equal windows; runs meet by digest range, and each is looked up in every other by binary search. A digest is
    128 bits; the other comparisons are of bytes.
 5. Ranges of repeated windows go back to all copies of a segment by a join, and each document's bytes are cut out.
 
 Defined results: null and empty texts have no bytes and nothing removed. Matches never cross documents; they may be in the same one, also
-overlapping. Repeated rows repeat each other, so they lose all their bytes (from 200 up). Rows are known by 128 bits of hash of doc_id and
-text, so those with equal or null doc_id are told apart by their texts. Other columns are dropped.
+overlapping. Repeated rows repeat each other, so they lose all their bytes (from 200 up); their segments are counted and placed once. Rows are known
+by 128 bits of hash of doc_id and text, so those with equal or null doc_id are told apart by their texts. A very long text is cut up ``WORK`` bytes
+at a time, with overlaps. An empty table gives no rows. Other columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import documents, materialize
+from .scratch import discard, documents, materialize
 
 LENGTH = 200
 GRAM = 64
-SHARD = 1000  # distinct segments of a shard, about
+SHARD = 1 << 18  # bytes of distinct segments of a shard, about
 RUN = (1 << 16) - 1  # windows of a segment at most; longer runs are cut
 WORK = 1 << 17  # bytes in work at once; a longer text is cut with an overlap
 _MULTIPLY = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -140,11 +140,16 @@ def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.xxhash64(text, k).alias("d"), F.xxhash64(F.lit(7), text, k).alias("h"), F.col(text).alias("t"), k.alias("k"))
 
 
-def _packed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(d, h, k, size, z): texts compressed for the way."""
+def _packed(docs: DataFrame, key: str, text: str, once: bool = False) -> DataFrame:
+    """(d, h, k, size, z): texts compressed for the way; with ``once`` a task sends equal rows once."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()  # two numbers a row of the task
         for batch in it:
+            if once:
+                known = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+                fresh = [i for i, x in enumerate(known) if x not in seen and not seen.add(x)]
+                batch = batch.take(pa.array(fresh, pa.int64()))
             texts = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
             z = pa.array([pa.compress(t, "zstd", asbytes=True) for t in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array([len(t) for t in texts], pa.int64()), z], ["d", "h", "k", "size", "z"])
@@ -314,12 +319,17 @@ def _shard(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in _by_group(it):
         m, s, n, parts = (table.column(k).to_numpy() for k in range(1, 5))
         texts = table.column(5).to_pylist()
+        there = Counter(zip(m.tolist(), s.tolist()))
+        alone = [k for k in range(len(s)) if n[k] > 1 and there[int(m[k]), int(s[k])] == 1]  # copies of it are in an equal row
+        if alone:
+            m, s, n, parts = (np.concatenate([c, c[alone]]) for c in (m, s, n, parts))
+            texts += [texts[k] for k in alone]
         raw = np.frombuffer(b"".join(texts), np.uint8)
         ends = np.cumsum([len(x) for x in texts])
         flagged, leader = repeated_windows(raw, ends)
         out: list[tuple] = []
         for k, (a, b) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())):
-            windows = flagged[a : b - LENGTH + 1] | (n[k] > 1)
+            windows = flagged[a : b - LENGTH + 1]
             if windows.any():
                 out.append((m[k], s[k], _ranges(windows), None, None))
         for key in np.unique(m[parts > 0]).tolist():
@@ -339,16 +349,31 @@ def _shard(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
 
+def _found_in(run: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each digest of a sorted run is in another sorted run, by binary search."""
+    at = np.searchsorted(other["c1"], run["c1"])
+    hit = np.zeros(len(run), bool)
+    live = np.flatnonzero(at < len(other))
+    while len(live):  # equal first halves are next to each other
+        live = live[other["c1"][at[live]] == run["c1"][live]]
+        hit[live] |= other["c2"][at[live]] == run["c2"][live]
+        live = live[~hit[live]]
+        at[live] += 1
+        live = live[at[live] < len(other)]
+    return hit
+
+
 def _merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(group, m, run) to rows (m, s, ranges): each sorted run is looked up in every other run of its group by binary search."""
+    """(group, m, run) to rows (m, s, ranges): each sorted run is looked up in every other run of its group."""
     for table in _by_group(it):
         runs = [np.frombuffer(x, _DIGEST) for x in table.column(2).to_pylist()]
-        whole = np.sort(np.concatenate(runs)[["c1", "c2"]].astype([("c1", "<u8"), ("c2", "<u8")]), order=("c1", "c2"))
-        hits = []
-        for run in runs:
-            wanted = run[["c1", "c2"]].astype(whole.dtype)
-            hits.append(run[np.searchsorted(whole, wanted, "right") - np.searchsorted(whole, wanted, "left") > 1])
-        hit = np.sort(np.concatenate(hits), order=("s", "at"))
+        hits = [np.zeros(len(run), bool) for run in runs]
+        for i, run in enumerate(runs):
+            for j, other in enumerate(runs):
+                if i != j:
+                    open_ = np.flatnonzero(~hits[i])
+                    hits[i][open_] = _found_in(run[open_], other)
+        hit = np.sort(np.concatenate([run[own] for run, own in zip(runs, hits)]), order=("s", "at"))
         if len(hit):
             cuts = np.flatnonzero(np.r_[True, hit["s"][1:] != hit["s"][:-1]])
             each = [np.stack([x["at"], x["at"] + 1], axis=1).ravel().astype(np.int32) for x in np.split(hit, cuts[1:])]
@@ -359,28 +384,32 @@ def _merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (d, h, spans): byte ranges [first, end, ...] of each document that repeated strings cover; not yet united."""
     shared = materialize(cut(docs, key, text, only_keys=True).groupBy("m").agg(F.count("*").alias("_n")).where("_n > 1").select("m", F.lit(True).alias("_shared")), "keys")
-    own = cut(docs, key, text)
-    kept = materialize(own.join(shared, "m", "left").where("_shared OR again").drop("_shared"), "segments")
-    distinct = materialize(kept.groupBy("m", "s").agg(F.count("*").alias("n"), F.min(F.struct("d", "h", "p")).alias("at"), F.max("again").alias("again")), "distinct")
-    groups = distinct.groupBy("m").agg(F.count("*").alias("k"), F.max("again").alias("self"))
-    contested = materialize(groups.where("k > 1 OR self").select("m", "k"), "contested")
+    own = cut(docs, key, text).join(shared, "m", "left").where("_shared OR again")
+    kept = materialize(own.groupBy("m", "s", "d", "h", "p").agg(F.count("*").alias("n"), F.max("again").alias("again")), "segments")  # equal rows are one
+    place = F.struct("d", "h", "p")
+    distinct = materialize(kept.groupBy("m", "s").agg(F.sum("n").alias("n"), F.min(place).alias("at"), F.max(place).alias("to"), F.max("again").alias("again")), "distinct")
+    size = F.col("at.p").bitwiseAND(F.lit(RUN)) + LENGTH - 1
+    groups = distinct.groupBy("m").agg(F.sum(size * F.when(F.col("n") > 1, 2).otherwise(1)).alias("k"), F.max((F.col("n") > 1) | F.col("again")).alias("self"), F.count("*").alias("_c"))
+    contested = materialize(groups.where("_c > 1 OR self").select("m", "k"), "contested")
     total = contested.agg(F.sum("k")).first()[0] or 0
-    whole = distinct.where("n > 1").join(contested, "m", "left_anti").select("m", "s", F.array(F.lit(0), F.col("at.p").bitwiseAND(F.lit(RUN)).cast("int")).alias("ranges"))
 
     shards = max(1, -(-total // SHARD))
     parts = F.when(F.col("k") > SHARD, F.ceil(F.col("k") / SHARD)).otherwise(0)  # shards of a key that spans several
     shard = F.when(parts > 0, F.xxhash64("m", F.pmod("s", parts))).otherwise(F.pmod(F.xxhash64("m"), F.lit(shards)))
-    wanted = distinct.join(contested, "m").select(
-        F.col("at.d").alias("d"), F.col("at.h").alias("h"), F.struct(shard.alias("shard"), "m", "s", "n", parts.alias("parts"), F.col("at.p").alias("p")).alias("w")
+    places = F.explode(F.array_distinct(F.array("at", "to")))
+    wanted = distinct.join(contested, "m").select("m", "s", "n", shard.alias("shard"), parts.alias("parts"), places.alias("at")).select(
+        F.col("at.d").alias("d"), F.col("at.h").alias("h"), F.struct("shard", "m", "s", "n", "parts", F.col("at.p").alias("p")).alias("w")
     )
     by_doc = wanted.groupBy("d", "h").agg(F.collect_list("w").alias("w"))  # segments of one document
-    fetched = _packed(docs, key, text).join(by_doc, ["d", "h"]).select("size", "z", "w").mapInArrow(_fetch, "shard long, m long, s long, n long, parts long, bytes binary")
+    met = _packed(docs, key, text, once=True).join(by_doc, ["d", "h"]).groupBy("d", "h").agg(F.any_value("size").alias("size"), F.any_value("z").alias("z"), F.any_value("w").alias("w"))
+    fetched = met.select("size", "z", "w").mapInArrow(_fetch, "shard long, m long, s long, n long, parts long, bytes binary")
     dealt = fetched.repartition("shard").sortWithinPartitions("shard")
     found = materialize(dealt.mapInArrow(_shard, "m long, s long, ranges array<int>, part long, run binary"), "shards")
     runs = found.where("run is not null").select(F.xxhash64("m", "part").alias("g"), "m", "run")
     across = runs.repartition("g").sortWithinPartitions("g").mapInArrow(_merge, "m long, s long, ranges array<int>")
-    all_ranges = whole.unionByName(found.where("ranges is not null").select("m", "s", "ranges")).unionByName(across)
-    ranges = materialize(all_ranges.groupBy("m", "s").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "ranges")
+    all_ranges = found.where("ranges is not null").select("m", "s", "ranges").unionByName(across)
+    ranges = materialize(all_ranges.groupBy("m", "s").agg(F.array_distinct(F.collect_list("ranges")).alias("_r")).select("m", "s", F.flatten("_r").alias("ranges")), "ranges")
+    discard(shared, distinct, contested, found)
     start = F.expr("shiftrightunsigned(p, 16) & 4294967295")
     placed = kept.select("m", "s", "d", "h", "p").join(ranges, ["m", "s"]).select(
         "d", "h", F.transform("ranges", lambda x, i: start + x + F.when(i % 2 == 1, LENGTH - 1).otherwise(0)).alias("spans")
