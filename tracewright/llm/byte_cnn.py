@@ -7,7 +7,9 @@ maximum and the mean over all chunks go through one logistic unit. Training is A
 rows then sets the bias. Scoring is one pass without a shuffle, a chunk block at a time in memory.
 
 Defined results: null and empty texts are one chunk of padding. If a label is missing among the learning rows the score is
-the share of label 1 (0.5 without any). Labels, lang, source and doc_id are no inputs. Repeated rows are scored one by one.
+the share of label 1 (0.5 without any, as with empty tables). Labels, lang, source and doc_id are no inputs. Repeated rows are scored one by
+one. A very long text is scored by itself, a block of chunks at a time; of tied positions in a chunk the first is the filter's. An empty table gives
+no rows. Other columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -94,8 +96,29 @@ class ByteCNN:
         return np.concatenate(scores)
 
 
+def gradient(net: ByteCNN, x: np.ndarray, first: np.ndarray, count: np.ndarray, labels: np.ndarray) -> dict:
+    """Of the mean log loss of documents whose ``count`` chunks begin at ``first``; a gradient reaches a table only at each filter's best
+    position in each chunk."""
+    best, raw = map(np.concatenate, zip(*(net.strongest(x[a : a + BLOCK]) for a in range(0, len(x), BLOCK))))  # [chunks, FILTERS]
+    raw = raw + net.bias
+    pool = np.maximum(raw, 0)
+    top, mean = np.maximum.reduceat(pool, first), np.add.reduceat(pool, first) / count[:, None]
+    logit = np.hstack([top, mean]) @ net.out + net.out_bias
+    error = (1 / (1 + np.exp(-logit)) - labels) / len(labels)
+    doc = np.repeat(np.arange(len(labels)), count)
+    from_mean = (error / count)[doc, None] * net.out[FILTERS:]
+    best_chunk = pool == top[doc]
+    from_top = best_chunk * error[doc, None] * net.out[:FILTERS] / np.add.reduceat(best_chunk, first, dtype=np.int64)[doc]  # tied chunks share it
+    d_raw = np.where(raw > 0, from_mean + from_top, 0).astype(np.float32)
+    d_table = np.zeros_like(net.table)
+    which = np.broadcast_to(np.arange(FILTERS), best.shape)
+    for k in range(WIDTH):
+        np.add.at(d_table[k], (np.take_along_axis(x, best + k, axis=1), which), d_raw)
+    return {"out": np.hstack([top, mean]).T @ error, "out_bias": error.sum(), "bias": d_raw.sum(axis=0), "table": d_table}
+
+
 def fit(chunks: np.ndarray, starts: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> ByteCNN:
-    """Adam on the log loss; a gradient reaches a table only at each filter's best position in each chunk."""
+    """Adam on the log loss."""
     rng = np.random.default_rng(seed)
     net = ByteCNN(
         (rng.normal(0, 0.25, (WIDTH, 256, FILTERS))).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32), 0.0
@@ -110,24 +133,7 @@ def fit(chunks: np.ndarray, starts: np.ndarray, labels: np.ndarray, epochs: int
             own = np.concatenate([np.arange(starts[d], ends[d]) for d in docs])
             count = (ends - starts)[docs]
             first = np.r_[0, np.cumsum(count)[:-1]]
-            x = chunks[own]
-            best, raw = map(np.concatenate, zip(*(net.strongest(x[a : a + BLOCK]) for a in range(0, len(x), BLOCK))))  # [chunks, FILTERS]
-            raw = raw + net.bias
-            pool = np.maximum(raw, 0)
-            top, mean = np.maximum.reduceat(pool, first), np.add.reduceat(pool, first) / count[:, None]
-            logit = np.hstack([top, mean]) @ net.out + net.out_bias
-            error = (1 / (1 + np.exp(-logit)) - labels[docs]) / len(docs)
-            grad = {"out": np.hstack([top, mean]).T @ error, "out_bias": error.sum()}
-            doc = np.repeat(np.arange(len(docs)), count)
-            from_mean = (error / count)[doc, None] * net.out[FILTERS:]
-            from_top = np.where(pool == top[doc], error[doc, None] * net.out[:FILTERS], 0)
-            d_raw = np.where(raw > 0, from_mean + from_top, 0).astype(np.float32)
-            grad["bias"] = d_raw.sum(axis=0)
-            d_table = np.zeros_like(net.table)
-            which = np.broadcast_to(np.arange(FILTERS), best.shape)
-            for k in range(WIDTH):
-                np.add.at(d_table[k], (np.take_along_axis(x, best + k, axis=1), which), d_raw)
-            grad["table"] = d_table
+            grad = gradient(net, chunks[own], first, count, labels[docs])
             step += 1
             for name, g in grad.items():
                 now = getattr(net, name)

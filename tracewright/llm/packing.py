@@ -2,13 +2,14 @@
 
 Tokens come from a public vocabulary file whose place is a parameter; text is split at ASCII white space first, which that
 tokenizer never crosses, so each distinct word is encoded once in a worker and remembered. A document is its ids and one
-closing id; it is cut at multiples of the sequence length, and the pieces go to sequences. Pieces fall into groups by a hash,
+closing id; it is cut at multiples of the sequence length, and the pieces go to sequences. Pieces fall into groups by a hash of their row's number,
 so groups are alike, each is small enough for one task at any corpus size, and no group depends on another. Within a group
 pieces are placed longest first, each into the first sequence with room: a tree of capacities, whose inner nodes hold the
 larger child, finds it in log2(sequences) steps.
 
-Defined results: null and empty texts are the closing id alone. Repeated rows are packed one by one. Empty tables give no
-rows. Other columns of the documents are dropped.
+Defined results: null and empty texts are the closing id alone. Repeated rows are packed one by one; pieces of equal length are placed by
+key, start and checksum. A very long text is encoded whole, within its row, and cut. Empty tables give no
+rows. Other columns of the documents are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -147,9 +148,10 @@ def first_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int]]:
 
 
 def pack(cut: DataFrame, length: int = LENGTH, group: int = GROUP, key: str = "doc_id") -> DataFrame:
-    """Add sequence_id and offset to the pieces. Their number sets the number of groups, so they should be a written table."""
+    """Add sequence_id and offset to the pieces. Their number sets the number of groups, and their places in its files their groups, so they should be
+    a written table; equal pieces, or pieces of one key, fall into different groups."""
     groups = max(1, -(-cut.count() // group))
-    dealt = cut.withColumn("sequence_id", F.pmod(F.xxhash64(key, "start", "ids_crc32", "doc_tokens"), F.lit(groups)))
+    dealt = cut.withColumn("sequence_id", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(5)), F.lit(groups)))
     schema = T.StructType([*dealt.schema.fields, T.StructField("offset", T.LongType())])
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -2,11 +2,13 @@
 
 Everything is a SQL expression over one row, so a document is never shuffled: the only stage is the scan. A word is
 ``[^\\x20\\x09-\\x0D]+``. Repeated three-word windows are found by sorting one long per window (its hash above, its
-position below) and comparing neighbours, word by word where the hashes agree.
+position below) and comparing neighbours, word by word where the hashes agree. Where they agree and the words don't, which only very long texts
+see, whole hashes are sorted beside positions.
 
 Defined results: a null text has no words and no lines, all counts are 0 and the base rules reject it, as they reject an
 empty one. Equal lines keep their first copy. Repeated rows are judged one by one. Columns of the input whose names
-clash with a result's are replaced; all others pass through ``clean_lines``.
+clash with a result's are replaced; all others pass through ``clean_lines``. An empty table gives no rows. A text of any length is judged whole,
+within its row.
 """
 
 from __future__ import annotations
@@ -46,16 +48,26 @@ def _let(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _repeated_words() -> str:
-    """Words of ``w`` inside three-word windows that occur twice or more."""
-    same = " AND ".join(f"w[cast(a & k as int) + {j}] = w[cast(b & k as int) + {j}]" for j in range(3))
-    keys = "sort_array(transform(sequence(0, size(w) - 3), i -> (xxhash64(w[i], w[i + 1], w[i + 2]) & ~k) | cast(i as bigint)))"
-    pairs = f"zip_with(slice(s, 1, size(s) - 1), slice(s, 2, size(s) - 1), (a, b) -> if((a & ~k) = (b & ~k) AND {same}, array(a & k, b & k), null))"
-    at = f"sort_array(array_distinct(flatten(filter({pairs}, x -> x is not null))))"
-    covered = "aggregate(zip_with(slice(p, 1, size(p) - 1), slice(p, 2, size(p) - 1), (a, b) -> least(3L, b - a)), 3L, (c, x) -> c + x)"
-    found = _let(at, "p", f"if(size(p) = 0, 0L, {covered})")
-    low = "shiftleft(1L, cast(ceil(log2(size(w))) as int)) - 1"
-    return f"if(size(w) < 4, 0L, {_let(low, 'k', _let(keys, 's', found))})"
+def _repeated_words(bits: str = "") -> str:
+    """Words of ``w`` inside three-word windows that occur twice or more. ``bits`` replaces the number of low bits that hold a position."""
+
+    def covered(marks: str) -> str:
+        """From pairs of positions that start equal windows (null: no pair; [-1]: windows of one key that differ)."""
+        at = f"sort_array(array_distinct(flatten(filter({marks}, x -> x is not null))))"
+        total = "aggregate(zip_with(slice(p, 1, size(p) - 1), slice(p, 2, size(p) - 1), (a, b) -> least(3L, b - a)), 3L, (c, x) -> c + x)"
+        return _let(at, "p", f"if(size(p) = 0, 0L, if(p[0] < 0, -1L, {total}))")
+
+    def neighbours(key_a: str, key_b: str, a: str, b: str) -> str:
+        same = " AND ".join(f"w[cast({a} as int) + {j}] = w[cast({b} as int) + {j}]" for j in range(3))
+        return f"zip_with(slice(s, 1, size(s) - 1), slice(s, 2, size(s) - 1), (a, b) -> if({key_a} = {key_b}, if({same}, array({a}, {b}), array(-1L)), null))"
+
+    window = "xxhash64(w[i], w[i + 1], w[i + 2])"
+    packed = f"sort_array(transform(sequence(0, size(w) - 3), i -> ({window} & ~k) | cast(i as bigint)))"
+    whole = f"sort_array(transform(sequence(0, size(w) - 3), i -> struct({window} AS h, cast(i as bigint) AS i)))"
+    low = f"shiftleft(1L, {bits or 'cast(ceil(log2(size(w))) as int)'}) - 1"
+    fast = _let(low, "k", _let(packed, "s", covered(neighbours("(a & ~k)", "(b & ~k)", "(a & k)", "(b & k)"))))
+    slow = _let(whole, "s", covered(neighbours("a.h", "b.h", "a.i", "b.i").replace("array(-1L)", "null")))
+    return f"if(size(w) < 4, 0L, {_let(fast, 'n', f'if(n >= 0, n, {slow})')})"
 
 
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:

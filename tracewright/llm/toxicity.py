@@ -8,11 +8,13 @@
    search finds the cheapest path under channel and language model. All other tokens stand as they are.
 3. Score: each restored word gets the largest lower bound of the log odds of its prefixes and itself; a logistic unit
    combines the largest weights among a document's distinct words, and the surest word may decide alone (noisy or). Both are learned from a bounded sample drawn by hash
-   (``PER_LABEL`` documents a label): the lexicon from one half, the unit from the other, the final lexicon from both.
+   (``PER_LABEL`` documents a label): the lexicon from one half, the unit and what counts as sure from the other, the final lexicon from both.
 
 Scoring is one pass over whole texts without a shuffle. Defined results: null and empty texts score as texts without words.
-If a label is missing among the learning rows the score is the share of label 1 (0 without any). Labels, lang, source and
-doc_id are no inputs. Repeated rows are scored one by one; a text of any length costs time in proportion to it.
+If a label is missing among the learning rows the score is the share of label 1 (0 without any), and so for an empty labels table. Labels,
+lang, source and doc_id are no inputs. Repeated rows are scored one by one; a text of any length costs time in proportion to it. An empty
+table gives no rows. ``reject`` keeps all columns, whatever their names; ``score_documents`` replaces a column called score. Equally cheap
+readings of a token go to the one that the lattice lists first.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from .training import labelled_sample, remainder
 PER_LABEL = 2000
 PREFIXES = (3, 4, 5, 6, 7)
 TOP = 8  # largest word weights that the unit sees
-SURE = 4.5  # log odds at which one word may decide alone
+MARGIN = 0.5  # log odds above all but one in a thousand clean learning documents at which one word may decide alone
 MIN_DOCS = 3  # sample documents that a lexicon entry needs
 CACHE = 150_000  # tokens whose weights a task remembers
 WORK = 1 << 18  # bytes counted at once
@@ -178,12 +180,12 @@ def log_odds(words: list[set[str]], labels: np.ndarray) -> dict[str, float]:
     return lexicon
 
 
-def features(weights: np.ndarray) -> np.ndarray:
-    """The largest word weight, how far it is above ``SURE``, means of the 3 and TOP largest, how many words there are."""
+def features(weights: np.ndarray, sure: float) -> np.ndarray:
+    """The largest word weight, how far it is above ``sure``, means of the 3 and TOP largest, how many words there are."""
     top = np.zeros(TOP)
     best = np.sort(weights)[::-1][:TOP]
     top[: len(best)] = best
-    return np.r_[top[0], max(0.0, top[0] - SURE), top[:3].mean(), top.mean(), np.log1p(len(weights))]
+    return np.r_[top[0], max(0.0, top[0] - sure), top[:3].mean(), top.mean(), np.log1p(len(weights))]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.1, rounds: int = 50) -> np.ndarray:
@@ -206,11 +208,12 @@ class ToxicityModel:
     costs: np.ndarray  # of the language model
     lexicon: dict[str, float]
     unit: np.ndarray
+    sure: float = 0.0  # log odds at which one word may decide alone
     constant: float | None = None
 
     def scorer(self):
         """A function of one text, with a bounded memory of token weights."""
-        costs, lexicon, known = self.costs.tolist(), self.lexicon, {}
+        costs, lexicon, sure, known = self.costs.tolist(), self.lexicon, self.sure, {}
 
         def weight(token: str) -> float:
             return max((lexicon.get(e, 0.0) for w in token_words(token, costs) for e in entries(w)), default=0.0)
@@ -226,8 +229,8 @@ class ToxicityModel:
                 if found is None:
                     found = known[token] = weight(token)
                 weights.append(found)
-            z = float(features(np.array(weights)) @ self.unit[:-1] + self.unit[-1])
-            alone = 3 * (max(weights, default=0.0) - SURE)
+            z = float(features(np.array(weights), sure) @ self.unit[:-1] + self.unit[-1])
+            alone = 3 * (max(weights, default=0.0) - sure)
             no = [1 / (1 + np.exp(np.clip(x, -30, 30))) for x in (z, alone)]
             return float(1 - no[0] * no[1])  # either the words together or the surest one
 
@@ -238,7 +241,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn, per_label: int
     costs = language_model(docs)
     sample, found = labelled_sample(docs, labels, label, learn, per_label)
     if not found.get(0) or not found.get(1):
-        return ToxicityModel(costs, {}, np.zeros(1), found.get(1, 0) / max(1, sum(found.values())))
+        return ToxicityModel(costs, {}, np.zeros(1), constant=found.get(1, 0) / max(1, sum(found.values())))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = costs.tolist()
@@ -258,10 +261,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn, per_label: int
 
     teaching = np.flatnonzero(~for_unit) if not for_unit.all() else np.arange(len(y))
     part = log_odds([words[i] for i in teaching], y[teaching])
-    x = np.array([features(weights(part, words[i])) for i in np.flatnonzero(for_unit)])
+    each = [weights(part, words[i]) for i in np.flatnonzero(for_unit)]
+    clean = [max(own, default=0.0) for own, v in zip(each, y[for_unit]) if not v]
+    sure = float(np.quantile(clean, 0.999)) + MARGIN
+    x = np.array([features(own, sure) for own in each])
     unit = logistic(x, y[for_unit])
     unit[-1] += np.log(found[1] / found[0]) - np.log(y[for_unit].sum() / (for_unit.sum() - y[for_unit].sum()))
-    return ToxicityModel(costs, log_odds(words, y), unit)
+    return ToxicityModel(costs, log_odds(words, y), unit, sure)
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:

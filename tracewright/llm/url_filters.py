@@ -12,7 +12,8 @@ The rules are few by the support bound; Spark broadcasts their table only while
 written, is under the session's limit.
 
 Defined results: a null url, or one without ``://``, has empty host and path, no tokens and no rule; it is allowed. Without labelled
-URLs nothing is mined. Repeated rows are judged one by one. Other columns are dropped.
+URLs nothing is mined, and an empty table gives no rows. Rules of equal confidence, support, length and verdict go by their tokens, the last in
+order first. Repeated rows are judged one by one; a very long url is one row's work. Other columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -63,20 +64,47 @@ def tokens(url: str = "url") -> Column:
     )
 
 
+def _twins(labelled: DataFrame, min_support: float) -> list[list[str]]:
+    """Groups of frequent tokens that occur in the same rows. A row has few tokens, so there are at most tokens / min_support frequent ones."""
+    row = F.xxhash64(F.monotonically_increasing_id())
+    each = labelled.select(row.alias("_u"), F.explode("tokens").alias("token")).groupBy("token").agg(
+        F.count("*").alias("n"), F.bit_xor("_u").alias("x"), F.sum(F.col("_u").bitwiseAND(F.lit((1 << 40) - 1))).alias("s")
+    )
+    frequent = each.where(F.col("n") >= min_support * labelled.count())
+    groups = frequent.groupBy("n", "x", "s").agg(F.array_sort(F.collect_list("token")).alias("same")).where("size(same) > 1")
+    return [r.same for r in groups.collect()]
+
+
+def _expanded(rules: DataFrame, twins: list[list[str]]) -> DataFrame:
+    """Rules with each token that stands for others replaced by each of them in turn."""
+    if not twins:
+        return rules
+    stands = F.create_map(*[x for same in twins for x in (F.lit(same[0]), F.array(*map(F.lit, same)))])
+    choices = rules.withColumn("_c", F.transform("antecedent", lambda x: F.coalesce(F.try_element_at(stands, x), F.array(x))))
+    every = "aggregate(_c, array(cast(array() as array<string>)), (acc, c) -> flatten(transform(acc, a -> transform(c, t -> concat(a, array(t))))))"
+    return choices.withColumn("antecedent", F.explode(F.expr(every))).withColumn("antecedent", F.array_sort("antecedent")).drop("_c")
+
+
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Rows (antecedent, verdict, confidence, support) from rows (tokens, verdict), redundant rules pruned."""
+    """Rows (antecedent, verdict, confidence, support) from rows (tokens, verdict), redundant rules pruned.
+
+    Tokens that always occur together would make an itemset of each of their subsets, all of one confidence, of which only single tokens
+    are no redundant ones. So one of them stands for all while rules are mined."""
     spark = labelled.sparkSession
     schema = "antecedent array<string>, verdict string, confidence double, support double"
     if labelled.isEmpty():
         return spark.createDataFrame([], schema)
-    items = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("verdict:"), "verdict"))).alias("items"))
+    twins = _twins(labelled, min_support)
+    left_out = [t for same in twins for t in same[1:]]
+    tokens_ = F.array_except("tokens", F.array(*map(F.lit, left_out))) if left_out else F.col("tokens")
+    items = labelled.select(F.concat(tokens_, F.array(F.concat(F.lit("verdict:"), "verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     found = model.associationRules.where("size(consequent) = 1 AND startswith(consequent[0], 'verdict:') AND NOT exists(antecedent, x -> startswith(x, 'verdict:'))")
     rules = materialize(found.select(F.array_sort("antecedent").alias("antecedent"), F.expr("substr(consequent[0], 9)").alias("verdict"), "confidence", "support"), "rules")
     smaller = rules.select(F.col("antecedent").alias("part"), "verdict", F.col("confidence").alias("sure"))
     parts = rules.select("antecedent", "verdict", "confidence", F.explode(F.transform("antecedent", lambda x: F.array_remove("antecedent", x))).alias("part"))
     redundant = parts.join(smaller, ["part", "verdict"]).where("sure >= confidence").select("antecedent", "verdict").distinct()
-    return rules.join(redundant, ["antecedent", "verdict"], "left_anti").select("antecedent", "verdict", "confidence", "support")
+    return _expanded(rules.join(redundant, ["antecedent", "verdict"], "left_anti").select("antecedent", "verdict", "confidence", "support"), twins)
 
 
 def index(rules: DataFrame, seen: DataFrame) -> DataFrame:
