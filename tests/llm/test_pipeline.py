@@ -39,6 +39,35 @@ def test_stages(spark):
     assert {r.doc_id for r in pieces} == set(ids(first)) and sum(r.length for r in pieces) == sum(dict((r.doc_id, r.doc_tokens) for r in pieces).values())
 
 
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null texts and ids, repeated rows, one very long text, columns that clash with those of the operators, and no rows at all."""
+    from pyspark.sql import functions as F
+
+    plain = "the river ran over old stones while birds sang and children played near a quiet mill in the valley below "
+    texts = [None, "", None, plain * 2, plain * 2, plain + "here", "x", 'token = "0123456789abcdef0123456789abcdef01234567"', plain * 900, "you idiot " * 9]
+    rows = [(i if i % 3 else None, t, "en", f"s{i % 2}" if i % 4 else None, len(t or "")) for i, t in enumerate(texts)]
+    rows += [(4, plain * 2, "en", "s0", 9)] * 5 + [(1000 + i, f"{plain} number {i} {'you worthless idiot' if i % 3 == 0 else 'fine day'}", "en", "s1", 9) for i in range(90)]
+    names = "doc_id long, text string, lang string, source string, n_chars long"
+    clash = [F.lit(k).alias(c) for k, c in enumerate(("slot", "phase", "score", "_row", "_doc", "_key", "_text", "_s", "_path", "length", "offset", "sequence_id", "node", "h", "_c0"))]
+    spark.createDataFrame([(1000 + i, i % 2, int(i % 3 == 0)) for i in range(90)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for part in (rows, []):
+        before = materialize(spark.createDataFrame(part, names).select("*", *clash), "odd")
+        for name, stage in corpus_pipeline.STAGES:
+            after = materialize(stage(spark, before, str(tmp_path)), f"odd-{name}")
+            if name != "packing":
+                assert after.columns == before.columns, name
+                assert after.select("slot", "_row", "_c0").exceptAll(before.select("slot", "_row", "_c0")).count() == 0
+            if name == "mixing":
+                assert sorted(map(repr, after.collect())) == sorted(map(repr, before.collect()))
+            if name == "secrets" and part:
+                assert after.count() == before.count() and not after.where("text like '%0123456789abcdef01234567%'").count()
+            if name == "near_duplicates" and part:
+                kept = Counter(r.text for r in after.collect())
+                assert kept[plain * 2] == 1 and sum(not (t or "").strip() for t in kept.elements()) == 1
+            assert bool(part) == bool(after.count()), name
+            before = after
+
+
 def test_registered_queries_have_stable_columns(spark, sf_dir):
     import __spark_entry__ as entry
 

@@ -159,6 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn, per_label: int
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["doc_id", "label", "chunks"])
 
     rows = sample.mapInArrow(cut, "doc_id long, label int, chunks binary").toPandas().sort_values("doc_id")
+    if rows["label"].nunique() < 2:  # labels of documents that aren't there
+        return float(rows["label"].mean()) if len(rows) else 0.5
     counts = np.array([len(c) // CHUNK for c in rows["chunks"]])
     chunks = np.frombuffer(b"".join(rows["chunks"]), np.uint8).reshape(-1, CHUNK)
     y = rows["label"].to_numpy(np.float64)

@@ -250,6 +250,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn, per_label: int
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.string())], ["doc_id", "label", "words"])
 
     rows = sample.mapInArrow(batches, "doc_id long, label int, words string").toPandas().sort_values("doc_id", ignore_index=True)
+    if rows["label"].nunique() < 2:  # labels of documents that aren't there
+        return ToxicityModel(costs, {}, np.zeros(1), constant=float(rows["label"].mean()) if len(rows) else 0.0)
     one: dict[str, str] = {}  # equal words of different documents are one object
     words, y = [{one.setdefault(x, x) for x in w.split()} for w in rows.pop("words")], rows["label"].to_numpy(np.float64)
     for_unit = np.random.default_rng(5).random(len(y)) < 0.5
