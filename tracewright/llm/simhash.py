@@ -449,14 +449,17 @@ def _similar(named: DataFrame, radius: int, size: int, similarity: float) -> Dat
     members = pairs.join(parts, "pivot").select("pivot", F.pmod(F.xxhash64("node"), "c").alias("part"), F.lit(1).alias("side"), "node")
     heads = parts.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("part"), F.lit(0).alias("side"), F.col("pivot").alias("node"))
     first = materialize(_group_links(members.unionByName(heads).withColumn("tree", F.col("node")).join(known, "node"), ["pivot", "part"], radius, check), "first-links")
-    roots = components(first)
+    # two steps towards the smallest node of each class are enough to pass over most of what is linked already
+    both = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("tree"))
+    trees = materialize(least.join(least.select(F.col("node").alias("tree"), F.col("tree").alias("up")), "tree").select("node", F.col("up").alias("tree")), "trees")
 
-    sorted_out = met.join(roots, "node", "left").select("t", "key", "n", "node", F.coalesce("root", "node").alias("tree"))
+    sorted_out = met.join(trees, "node", "left").select("t", "key", "n", "node", F.coalesce("tree", "node").alias("tree"))
     open_ = sorted_out.groupBy("t", "key").agg(F.min("tree").alias("_a"), F.max("tree").alias("_b")).where("_a <> _b").select("t", "key")
     rest = materialize(sorted_out.join(open_, ["t", "key"]), "open-buckets")
     rows = _chunk_pairs(rest, WIDE_CHUNK).join(known, "node")
     second = materialize(_group_links(rows, ["t", "key", "low", "high"], radius, check), "second-links")
-    discard(shared, met, pairs, rest, known)
+    discard(shared, met, pairs, trees, rest, known)
     return _named(own.select("_key", "node"), distinct.select("node", "least"), components(first.unionByName(second)), "_key").select("_key", "component_id")
 
 
