@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.ordered import quantiles, with_median
 from ..registry import query, table
 from . import traces
 from .statistics import confusion
@@ -14,7 +15,9 @@ from .statistics import confusion
 def percentage_errors(rows: DataFrame, by: list[str], predicted: str, measured: str) -> DataFrame:
     """Mean, median and largest absolute percentage error (a fraction) over measured <> 0."""
     ape = F.abs(F.col(predicted) - F.col(measured)) / F.abs(F.nullif(F.col(measured), F.lit(0.0)))
-    return rows.groupBy(*by).agg(F.count(ape).alias("n"), F.round(F.avg(ape), 8).alias("mape"), F.round(F.median(ape), 8).alias("median_ape"), F.round(F.max(ape), 8).alias("max_ape"))
+    each = rows.withColumn("_ape", ape)
+    basic = each.groupBy(*by).agg(F.count("_ape").alias("n"), F.round(F.avg("_ape"), 8).alias("mape"), F.round(F.max("_ape"), 8).alias("max_ape"))
+    return with_median(basic, each, by, "_ape", "_m").select(*by, "n", "mape", F.round("_m", 8).alias("median_ape"), "max_ape")
 
 
 def leaks(holdout: DataFrame, training: DataFrame, source: str) -> DataFrame:
@@ -35,20 +38,32 @@ def gate(metrics: DataFrame, limits: dict[str, tuple[str, float]]) -> DataFrame:
     return metrics.withColumns({"passed": F.size(broken) == 0, "broken": F.array_join(broken, ",")})
 
 
-def search_quality(found: DataFrame, exhaustive: DataFrame, key: str, score: str, by: list[str]) -> DataFrame:
-    """A heuristic's best score against the exhaustive one, the share of candidates it looked at, and of the best ten it found."""
-    best = exhaustive.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(score, key)))
-    met = best.join(found.select(*by, key, F.lit(True).alias("_f")), [*by, key], "left")
-    out = met.groupBy(*by).agg(
-        F.min(score).alias("_o"), F.min(F.when(F.col("_f"), F.col(score))).alias("_h"), F.avg(F.coalesce(F.col("_f"), F.lit(False)).cast("double")).alias("_n"),
-        F.avg(F.when(F.col("_r") <= 10, F.coalesce(F.col("_f"), F.lit(False)).cast("double"))).alias("_c"),
+def skyline(rows: DataFrame, by: list[str], costs: tuple[str, str]) -> DataFrame:
+    """Rows that no other of their group matches on both costs and beats on one. One running minimum over the first cost's distinct values."""
+    a, b = costs
+    least = rows.groupBy(*by, a).agg(F.min(b).alias("_b"))
+    before = F.min("_b").over(W.partitionBy(*by).orderBy(a).rowsBetween(W.unboundedPreceding, -1))
+    front = least.withColumn("_before", before).where("_before IS NULL OR _b < _before").drop("_before")
+    return rows.join(front, [*by, a]).where(F.col(b) == F.col("_b")).drop("_b")
+
+
+def search_quality(found: DataFrame, exhaustive: DataFrame, key: str, score: str, by: list[str], costs: tuple[str, str]) -> DataFrame:
+    """A heuristic's best score against the exhaustive one (never below it), whether both chose the same, the share of candidates that it left out, and
+    how many of the exhaustive Pareto front are on its own."""
+    best = lambda d, name: d.groupBy(*by).agg(F.min_by(F.struct(score, key), F.struct(score, key)).alias(name), F.count("*").alias(f"{name}n"))
+    front, own = skyline(exhaustive, by, costs).select(*by, key), skyline(found, by, costs).select(*by, key, F.lit(1).alias("_on"))
+    cover = front.join(own, [*by, key], "left").groupBy(*by).agg(F.avg(F.coalesce("_on", F.lit(0)).cast("double")).alias("_c"))
+    out = best(exhaustive, "_e").join(best(found, "_h"), by, "left").join(cover, by)
+    regret = F.greatest(F.lit(0.0), F.col("_h")[score] - F.col("_e")[score])
+    return out.select(
+        *by, F.coalesce(F.col("_h")[key] == F.col("_e")[key], F.lit(False)).alias("same_winner"), F.when(F.col("_h").isNotNull(), F.round(regret, 6)).alias("regret"),
+        F.round(1 - F.coalesce("_hn", F.lit(0)) / F.col("_en"), 8).alias("reduction"), F.round("_c", 8).alias("pareto_coverage"),
     )
-    return out.select(*by, F.round(F.col("_h") - F.col("_o"), 6).alias("regret"), F.round(1 - F.col("_n"), 8).alias("reduction"), F.round("_c", 8).alias("top10_coverage"))
 
 
 def factor_contrasts(rows: DataFrame, row_factor: str, column_factor: str, scale: str, value: str) -> DataFrame:
     """Medians of each cell, and each (row, column) series' slope of the median over the scale."""
-    cells = rows.groupBy(row_factor, column_factor, scale).agg(F.median(value).alias("_m"))
+    cells = quantiles(rows, [row_factor, column_factor, scale], value, {"_m": 0.5})
     return cells.groupBy(row_factor, column_factor).agg(F.count("*").alias("cells"), F.round(F.regr_slope("_m", F.col(scale).cast("double")), 6).alias("slope"), F.round(F.avg("_m"), 6).alias("mean_of_medians"))
 
 
@@ -57,10 +72,10 @@ def weighted_latency(queries: DataFrame, by: list[str], weight: str, median_ns:
     return queries.groupBy(*by).agg(F.round(F.sum(F.col(weight) * F.col(median_ns) / 1000) / F.sum(weight), 6).alias("latency_us"))
 
 
-def campaign_state(rows: DataFrame, by: list[str], state: str, expected: int) -> DataFrame:
-    """complete, partial, or what a single kind of evidence makes of it: by the set of the rows' states."""
-    g = rows.groupBy(*by).agg(F.array_sort(F.collect_set(state)).alias("_s"), F.count("*").alias("n"))
-    label = F.when(F.size("_s") > 1, "mixed").when(F.col("n") < expected, "partial").otherwise(F.concat(F.lit("complete:"), F.col("_s")[0]))
+def campaign_state(rows: DataFrame, by: list[str], success: str, state: str, expected: int) -> DataFrame:
+    """incomplete_or_failed if an entry failed, else partial below the expected number, else what a single kind of evidence makes of it, else mixed."""
+    g = rows.groupBy(*by).agg(F.min(success).alias("_ok"), F.array_sort(F.collect_set(F.when(F.col(success), F.col(state)))).alias("_s"), F.count("*").alias("n"))
+    label = F.when(~F.col("_ok"), "incomplete_or_failed").when(F.col("n") < expected, "partial").when(F.size("_s") == 1, F.concat(F.lit("complete:"), F.col("_s")[0])).otherwise("mixed")
     return g.select(*by, "n", label.alias("state"))
 
 
@@ -69,17 +84,23 @@ def shared_verifiers(attestations: DataFrame, lineage: str, attestation: str, ve
     return attestations.groupBy(lineage, verifier).agg(F.countDistinct(attestation).alias("n")).where("n > 1")
 
 
-def freshness(runs: DataFrame, now: str, calibrated: str, workload_hash: str, current_hash: str, max_age: int) -> DataFrame:
-    """FRESH, STALE (too old), DRIFTED (another workload by now) or UNKNOWN (never calibrated)."""
-    return runs.withColumn(
-        "freshness",
-        F.when(F.col(calibrated).isNull(), "UNKNOWN").when(F.col(workload_hash) != F.col(current_hash), "DRIFTED").when(F.col(now) - F.col(calibrated) > max_age, "STALE").otherwise("FRESH"),
-    )
+def _changed() -> tuple[Column, Column]:
+    """Whether what was chosen has changed, and whether what it rests on has. A missing flag counts as no change."""
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    return flag("candidate_changed") | flag("route_changed"), flag("drifted") | flag("distribution_changed")
+
+
+def freshness(status: DataFrame) -> DataFrame:
+    """Rows (blocked, candidate_changed, route_changed, drifted, distribution_changed) to what a decision is worth for the windows that it was held
+    against: BLOCKED, SUPERSEDED, REVIEW_REQUIRED or CURRENT, the first that applies. Age alone expires nothing."""
+    choice, ground = _changed()
+    return status.withColumn("freshness", F.when(F.col("blocked"), "BLOCKED").when(choice, "SUPERSEDED").when(ground, "REVIEW_REQUIRED").otherwise("CURRENT"))
 
 
 def watch_action(status: DataFrame) -> DataFrame:
-    """Rows (blocked, drifted, same_winner, ambiguous) to BLOCKED, RESYNTHESIZE, REMEASURE or KEEP, the first that applies."""
-    return status.withColumn("action", F.when(F.col("blocked"), "BLOCKED").when(F.col("drifted") & ~F.col("same_winner"), "RESYNTHESIZE").when(F.col("ambiguous") | F.col("drifted"), "REMEASURE").otherwise("KEEP"))
+    """The same rows to BLOCKED, RESYNTHESIZE (a changed winner or route, drift or not), REMEASURE (drift, or another distribution) or KEEP."""
+    choice, ground = _changed()
+    return status.withColumn("action", F.when(F.col("blocked"), "BLOCKED").when(choice, "RESYNTHESIZE").when(ground, "REMEASURE").otherwise("KEEP"))
 
 
 def _uniform(seed: int, salt: str, *columns: str) -> Column:
@@ -154,12 +175,15 @@ def _gate(spark, sf_dir):
 
 @query(
     "search_quality",
-    f"""WITH {_UNITS}, r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY measured, p_partkey) AS r, p_size <= 25 AS f FROM u)
-SELECT p_brand, round(min(measured) FILTER (f) - min(measured), 6) AS regret, round(1 - avg(f::INT), 8) AS reduction, round(avg(f::INT) FILTER (r <= 10), 8) AS top10_coverage FROM r GROUP BY 1""",
+    f"""WITH {_UNITS}, h AS (FROM u WHERE p_size <= 25), front AS (SELECT p_brand, p_partkey FROM u WHERE NOT EXISTS (SELECT 1 FROM u o WHERE o.p_brand = u.p_brand AND o.measured <= u.measured AND o.p_size <= u.p_size AND (o.measured < u.measured OR o.p_size < u.p_size))),
+own AS (SELECT p_brand, p_partkey FROM h WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.p_brand = h.p_brand AND o.measured <= h.measured AND o.p_size <= h.p_size AND (o.measured < h.measured OR o.p_size < h.p_size))),
+c AS (SELECT f.p_brand, avg((own.p_partkey IS NOT NULL)::INT) AS c FROM front f LEFT JOIN own USING (p_brand, p_partkey) GROUP BY 1),
+e AS (SELECT p_brand, min(measured) AS o, arg_min(p_partkey, (measured, p_partkey)) AS w, count(*) AS n FROM u GROUP BY 1), g AS (SELECT p_brand, min(measured) AS o, arg_min(p_partkey, (measured, p_partkey)) AS w, count(*) AS n FROM h GROUP BY 1)
+SELECT p_brand, coalesce(g.w = e.w, false) AS same_winner, round(greatest(0, g.o - e.o), 6) AS regret, round(1 - coalesce(g.n, 0) / e.n, 8) AS reduction, round(c, 8) AS pareto_coverage FROM e LEFT JOIN g USING (p_brand) JOIN c USING (p_brand)""",
 )
 def _quality(spark, sf_dir):
     u = _units(spark, sf_dir)
-    return search_quality(u.where("p_size <= 25"), u, "p_partkey", "measured", ["p_brand"])
+    return search_quality(u.where("p_size <= 25"), u, "p_partkey", "measured", ["p_brand"], ("measured", "p_size"))
 
 
 @query(
@@ -175,14 +199,15 @@ def _weighted(spark, sf_dir):
     return weighted_latency(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice")
 
 
-@query("campaign_state", "SELECT o_custkey, count(*) AS n, CASE WHEN count(DISTINCT o_orderstatus) > 1 THEN 'mixed' WHEN count(*) < 3 THEN 'partial' ELSE 'complete:' || min(o_orderstatus) END AS state FROM orders GROUP BY 1")
+@query("campaign_state", "SELECT o_custkey, count(*) AS n, CASE WHEN bool_or(o_orderstatus = 'P') THEN 'incomplete_or_failed' WHEN count(*) < 3 THEN 'partial' WHEN count(DISTINCT o_orderstatus) = 1 THEN 'complete:' || min(o_orderstatus) ELSE 'mixed' END AS state FROM orders GROUP BY 1")
 def _campaign(spark, sf_dir):
-    return campaign_state(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderstatus", 3)
+    orders = table(spark, sf_dir, "orders").withColumn("ok", F.col("o_orderstatus") != "P")
+    return campaign_state(orders, ["o_custkey"], "ok", "o_orderstatus", 3)
 
 
-@query("shared_verifiers", "SELECT l_returnflag, l_suppkey, count(DISTINCT l_orderkey) AS n FROM lineitem WHERE l_quantity = 11 GROUP BY 1, 2 HAVING count(DISTINCT l_orderkey) > 1")
+@query("shared_verifiers", "SELECT l_linenumber, l_suppkey, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_orderkey) > 1")
 def _verifiers(spark, sf_dir):
-    return shared_verifiers(table(spark, sf_dir, "lineitem").where("l_quantity = 11"), "l_returnflag", "l_orderkey", "l_suppkey")
+    return shared_verifiers(table(spark, sf_dir, "lineitem"), "l_linenumber", "l_orderkey", "l_suppkey")
 
 
 @query("shared_verifiers_whole", "SELECT l_returnflag, l_suppkey, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_orderkey) > 1")
@@ -190,24 +215,24 @@ def _verifiers_whole(spark, sf_dir):
     return shared_verifiers(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_orderkey", "l_suppkey")
 
 
-@query(
-    "decision_freshness",
-    "SELECT event_id, CASE WHEN event_type = 'error' THEN 'UNKNOWN' WHEN user_id % 7 <> (user_id * 3 + event_id) % 7 THEN 'DRIFTED' WHEN 10000 - event_id > 5000 THEN 'STALE' ELSE 'FRESH' END AS freshness FROM events",
-)
-def _freshness(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(
-        "event_id", F.lit(10000).alias("now"), F.when(F.col("event_type") != "error", F.col("event_id")).alias("at"), (F.col("user_id") % 7).alias("a"), ((F.col("user_id") * 3 + F.col("event_id")) % 7).alias("b")
+_FLAGS = "s AS (SELECT event_id, event_type = 'error' AS blocked, user_id % 7 = 0 AS candidate_changed, user_id % 11 = 0 AS route_changed, value > 100 AS drifted, user_id % 5 = 0 AS distribution_changed FROM events)"
+
+
+def _flags(spark, sf_dir) -> DataFrame:
+    user = F.col("user_id")
+    return table(spark, sf_dir, "events").select(
+        "event_id", (F.col("event_type") == "error").alias("blocked"), (user % 7 == 0).alias("candidate_changed"), (user % 11 == 0).alias("route_changed"), (F.col("value") > 100).alias("drifted"), (user % 5 == 0).alias("distribution_changed")
     )
-    return freshness(e, "now", "at", "a", "b", 5000).select("event_id", "freshness")
 
 
-@query(
-    "watch_action",
-    "SELECT event_id, CASE WHEN event_type = 'error' THEN 'BLOCKED' WHEN value > 100 AND user_id % 2 <> 0 THEN 'RESYNTHESIZE' WHEN user_id % 5 = 0 OR value > 100 THEN 'REMEASURE' ELSE 'KEEP' END AS action FROM events",
-)
+@query("decision_freshness", f"WITH {_FLAGS} SELECT event_id, CASE WHEN blocked THEN 'BLOCKED' WHEN candidate_changed OR route_changed THEN 'SUPERSEDED' WHEN drifted OR distribution_changed THEN 'REVIEW_REQUIRED' ELSE 'CURRENT' END AS freshness FROM s")
+def _freshness(spark, sf_dir):
+    return freshness(_flags(spark, sf_dir)).select("event_id", "freshness")
+
+
+@query("watch_action", f"WITH {_FLAGS} SELECT event_id, CASE WHEN blocked THEN 'BLOCKED' WHEN candidate_changed OR route_changed THEN 'RESYNTHESIZE' WHEN drifted OR distribution_changed THEN 'REMEASURE' ELSE 'KEEP' END AS action FROM s")
 def _watch(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", (F.col("event_type") == "error").alias("blocked"), (F.col("value") > 100).alias("drifted"), (F.col("user_id") % 2 == 0).alias("same_winner"), (F.col("user_id") % 5 == 0).alias("ambiguous"))
-    return watch_action(e).select("event_id", "action")
+    return watch_action(_flags(spark, sf_dir)).select("event_id", "action")
 
 
 @query("replication_spread", f"WITH {_UNITS}, s AS (SELECT p_brand, avg({_APE}) AS m FROM u GROUP BY 1) SELECT count(*) AS strata, round(min(m), 6) AS least, round(max(m), 6) AS largest, round(max(m) - min(m), 6) AS spread FROM s")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Iterator
 from functools import reduce
 
@@ -13,14 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.ordered import average_ranks, quantiles, same, with_median
 from ..registry import query, table
 
 TOLERANCE = 1e-12
-
-
-def average_rank(value: str, by: list[str]) -> Column:
-    """1-based rank in the group; ties share their mean rank."""
-    return F.rank().over(W.partitionBy(*by).orderBy(value)) + (F.count("*").over(W.partitionBy(*by, value)) - 1) / 2
+GRID = 32  # ranges of a number that Kendall's tau counts by
 
 
 def prediction_errors(points: DataFrame, by: list[str]) -> DataFrame:
@@ -43,39 +39,77 @@ def _corr(x: str, y: str) -> Column:
 
 def correlations(points: DataFrame, by: list[str]) -> DataFrame:
     """Pearson and Spearman a group; null with fewer than two points or no variance."""
-    ranked = points.withColumns({"_p": average_rank("predicted", by), "_m": average_rank("measured", by)})
+    ranked = average_ranks(average_ranks(points, by, "predicted", "_p"), by, "measured", "_m")
     return ranked.groupBy(*by).agg(
         F.round(_corr("predicted", "measured"), 8).alias("pearson"), F.round(_corr("_p", "_m"), 8).alias("spearman")
     )
 
 
+def _inversions(y: np.ndarray) -> int:
+    """Pairs i < j with y[i] > y[j], bit by bit: among values that agree in the higher bits, ones that come before zeros."""
+    r = np.unique(y, return_inverse=True)[1]
+    total, group = 0, np.zeros(len(r), np.int64)
+    for bit in reversed(range(int(r.max(initial=0)).bit_length())):
+        one = r >> bit & 1
+        ones = np.cumsum(one)
+        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        base = np.repeat(ones[starts] - one[starts], np.diff(np.r_[starts, len(r)]))
+        total += int((ones - base)[one == 0].sum())
+        order = np.lexsort((one, group))
+        r, group = r[order], 2 * group[order] + one[order]
+    return total
+
+
 def kendall(points: DataFrame, by: list[str], label: str) -> DataFrame:
-    """Kendall's tau-b a group. All pairs of a group are compared, so groups should be small (tens to a few thousand labels)."""
-    a = points.select(*by, F.col(label).alias("_a"), F.col("predicted").alias("_pa"), F.col("measured").alias("_ma"))
-    b = points.select(*by, F.col(label).alias("_b"), F.col("predicted").alias("_pb"), F.col("measured").alias("_mb"))
-    x, y = F.signum(F.col("_pa") - F.col("_pb")), F.signum(F.col("_ma") - F.col("_mb"))
-    pairs = a.join(b, by).where("_a < _b").groupBy(*by).agg(
-        F.count_if(x * y > 0).alias("_c"), F.count_if(x * y < 0).alias("_d"), F.count_if((x == 0) & (y != 0)).alias("_tx"), F.count_if((x != 0) & (y == 0)).alias("_ty")
-    )
-    untied = F.col("_c") + F.col("_d")
-    below = F.sqrt((untied + F.col("_tx")) * (untied + F.col("_ty")).cast("double"))
-    return pairs.select(*by, F.round(F.when(below > 0, (F.col("_c") - F.col("_d")) / below), 8).alias("kendall"))
+    """Kendall's tau-b a group, without its pairs: all pairs less ties less twice the discordant ones.
+
+    Each group is a grid of ``GRID`` ranges of either number. Discordant pairs of cells that differ in both are counted from the cells; those
+    within a column or a row of cells by counting inversions, a column or row at a time, so no task holds a group."""
+    known = points.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("predicted").cast("double").alias("x"), F.col("measured").cast("double").alias("y")).dropna(subset=["x", "y"])
+    keys = [f"_k{i}" for i in range(len(by))]
+    shares = [i / GRID for i in range(1, GRID)]
+    bounds = known.groupBy(*keys).agg(F.percentile_approx("x", shares, 1000).alias("_qx"), F.percentile_approx("y", shares, 1000).alias("_qy"))
+    renamed = bounds.select(*[F.col(k).alias(k.replace("_k", "_j")) for k in keys], "_qx", "_qy")
+    cell = lambda q, v: F.size(F.filter(q, lambda b: b < F.col(v)))
+    binned = known.join(renamed, same(keys, "_j")).select(*keys, "x", "y", cell("_qx", "x").alias("i"), cell("_qy", "y").alias("j"))
+
+    def counted(pdf: pd.DataFrame) -> pd.DataFrame:
+        grid = np.zeros((GRID, GRID))
+        grid[pdf["i"].to_numpy(), pdf["j"].to_numpy()] = pdf["c"].to_numpy()
+        below = np.cumsum(grid[:, ::-1], axis=1)[:, ::-1] - grid  # of one i, with a larger j
+        return pdf.iloc[:1][keys].assign(d=float((grid[1:] * np.cumsum(below, axis=0)[:-1]).sum()))
+
+    def within(first: str, second: str):
+        def each(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values([first, second], kind="stable")
+            return pdf.iloc[:1][keys].assign(d=float(_inversions(pdf[second].to_numpy())))
+
+        return each
+
+    schema = ", ".join(f"{k} {known.schema[k].dataType.simpleString()}" for k in keys) + ", d double"
+    cells = binned.groupBy(*keys, "i", "j").agg(F.count("*").alias("c")).groupBy(*keys).applyInPandas(counted, schema)
+    columns = binned.groupBy(*keys, "i").applyInPandas(within("x", "y"), schema)
+    rows = binned.groupBy(*keys, "j").applyInPandas(within("i", "y"), schema)
+    discordant = cells.unionByName(columns).unionByName(rows).groupBy(*keys).agg(F.sum("d").alias("_d"))
+    pairs = lambda *on: known.groupBy(*keys, *on).agg((F.count("*").cast("double") * (F.count("*") - 1) / 2).alias("t")).groupBy(*keys).agg(F.sum("t").alias("t"))
+    out = discordant
+    for name, on in (("_all", ()), ("_tx", ("x",)), ("_ty", ("y",)), ("_txy", ("x", "y"))):
+        other = pairs(*on).select(*[F.col(k).alias(k.replace("_k", "_j")) for k in keys], F.col("t").alias(name))
+        out = out.join(other, same(keys, "_j")).drop(*[k.replace("_k", "_j") for k in keys])
+    top = F.col("_all") - F.col("_tx") - F.col("_ty") + F.col("_txy") - 2 * F.col("_d")
+    below = F.sqrt((F.col("_all") - F.col("_tx")) * (F.col("_all") - F.col("_ty")))
+    return out.select(*[F.col(k).alias(c) for k, c in zip(keys, by)], F.round(F.when(below > 0, top / below), 8).alias("kendall"))
 
 
 def selection(points: DataFrame, by: list[str], label: str, k: int = 3) -> DataFrame:
     """Top-1 hit, regret and top-k recall of choosing the least predicted; ties go by label."""
-    ranked = points.withColumns(
-        {
-            "_rp": F.row_number().over(W.partitionBy(*by).orderBy("predicted", label)),
-            "_rm": F.row_number().over(W.partitionBy(*by).orderBy("measured", label)),
-        }
-    )
-    out = ranked.groupBy(*by).agg(
-        F.max(F.when(F.col("_rp") == 1, F.col(label))).alias("selected"),
-        F.max(F.when(F.col("_rm") == 1, F.col(label))).alias("oracle"),
-        F.max(F.when(F.col("_rp") == 1, F.col("measured"))).alias("_s"),
-        F.max(F.when(F.col("_rm") == 1, F.col("measured"))).alias("_o"),
-        (F.count_if((F.col("_rp") <= k) & (F.col("_rm") <= k)) / F.least(F.lit(k), F.count("*"))).alias("_recall"),
+    least = lambda c: F.min_by(F.struct(F.col(label).alias("l"), "measured"), F.struct(c, label))
+    ends = points.groupBy(*by).agg(least("predicted").alias("_a"), least("measured").alias("_b"), F.count("*").alias("_n"))
+    first = lambda c: points.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(c, label))).where(F.col("_r") <= k).select(*by, label)  # noqa: E731  Spark keeps k a task before it shuffles
+    met = first("predicted").join(first("measured"), [*by, label]).groupBy(*by).agg(F.count("*").alias("_m"))
+    out = ends.join(met, by, "left").select(
+        *by, F.col("_a.l").alias("selected"), F.col("_b.l").alias("oracle"), F.col("_a.measured").alias("_s"), F.col("_b.measured").alias("_o"),
+        (F.coalesce("_m", F.lit(0)) / F.least(F.lit(k), F.col("_n"))).alias("_recall"),
     )
     regret = F.greatest(F.lit(0.0), F.col("_s") - F.col("_o"))
     return out.select(
@@ -108,17 +142,20 @@ def leave_one_out(points: DataFrame, workload: str, label: str, k: int = 3) -> D
 
 def summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Count, mean, both standard deviations (the sample's is 0 for one row), extremes and interpolated quantiles."""
-    q = lambda p: F.round(F.percentile(value, F.lit(p)), 6)
-    return rows.groupBy(*by).agg(
-        F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), q(0.5).alias("median"), F.round(F.coalesce(F.stddev_samp(value), F.lit(0.0)), 6).alias("stddev"),
-        F.round(F.stddev_pop(value), 6).alias("stddev_pop"), F.min(value).alias("min"), q(0.95).alias("p95"), q(0.99).alias("p99"), F.max(value).alias("max"),
+    basic = rows.groupBy(*by).agg(
+        F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp(value), F.lit(0.0)), 6).alias("stddev"),
+        F.round(F.stddev_pop(value), 6).alias("stddev_pop"), F.min(value).alias("min"), F.max(value).alias("max"),
     )
+    shares = {"median": 0.5, "p95": 0.95, "p99": 0.99}
+    found = quantiles(rows, by, value, shares).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], *[F.round(c, 6).alias(c) for c in shares])
+    return basic.join(found, same(by), "left").select(*by, "n", "mean", "median", "stddev", "stddev_pop", "min", "p95", "p99", "max")
 
 
 def relative_mad(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Median distance from the median, by the median."""
-    middle = rows.groupBy(*by).agg(F.median(value).alias("_m"))
-    return rows.join(middle, by).groupBy(*by, "_m").agg(F.median(F.abs(F.col(value) - F.col("_m"))).alias("_d")).select(*by, F.round(F.try_divide("_d", "_m"), 8).alias("relative_mad"))
+    middle = quantiles(rows, by, value, {"_m": 0.5})
+    away = rows.join(middle, by).withColumn("_away", F.abs(F.col(value) - F.col("_m")))
+    return middle.join(quantiles(away, by, "_away", {"_d": 0.5}), by).select(*by, F.round(F.try_divide("_d", "_m"), 8).alias("relative_mad"))
 
 
 def holm(tests: DataFrame, family: list[str], label: str, p: str, alpha: float = 0.05) -> DataFrame:
@@ -154,30 +191,39 @@ def _sign(wins: int, losses: int) -> float | None:
     return min(1.0, 2 * math.fsum(map(math.exp, logs)))
 
 
-def paired(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """Rows (by, baseline, treatment), lower is better: wins, ties, losses, differences, ratio, effect size and sign test."""
-    d = F.col("treatment") - F.col("baseline")
-    out = pairs.groupBy(*by).agg(
-        F.count("*").alias("n"), F.count_if(d < -TOLERANCE).alias("wins"), F.count_if(F.abs(d) <= TOLERANCE).alias("ties"), F.count_if(d > TOLERANCE).alias("losses"),
-        F.round(F.avg(d), 6).alias("mean_difference"), F.round(F.median(d), 6).alias("median_difference"),
+def paired(pairs: DataFrame, by: list[str], lower_is_better: bool = True) -> DataFrame:
+    """Rows (by, baseline, treatment): wins, ties, losses, improvements (above 0 is better), their share of the baseline, the ratio of the geometric
+    means, effect size and sign test."""
+    gain = F.col("baseline") - F.col("treatment") if lower_is_better else F.col("treatment") - F.col("baseline")
+    rows = pairs.withColumn("_d", gain)
+    d = F.col("_d")
+    out = rows.groupBy(*by).agg(
+        F.count("*").alias("n"), F.count_if(d > TOLERANCE).alias("wins"), F.count_if(F.abs(d) <= TOLERANCE).alias("ties"), F.count_if(d < -TOLERANCE).alias("losses"),
+        F.round(F.avg(d), 6).alias("mean_improvement"), F.round(F.avg(d / F.abs(F.nullif("baseline", F.lit(0.0)))), 8).alias("mean_relative_improvement"),
         F.round(F.exp(F.avg(F.when((F.col("baseline") > 0) & (F.col("treatment") > 0), F.log(F.col("treatment") / F.nullif("baseline", F.lit(0.0)))))), 8).alias("geometric_ratio"),
         F.round(F.try_divide(F.avg(d), F.stddev_samp(d)), 8).alias("effect_size"),
     )
+    out = with_median(out, rows, by, "_d", "_m").withColumns({"median_improvement": F.round("_m", 6), "win_rate": F.round(F.try_divide("wins", F.col("wins") + F.col("losses")), 8)}).drop("_m")
     return out.withColumn("sign_p", F.round(sign_test(F.col("wins"), F.col("losses")), 8))
 
 
-def bootstrap_mean(rows: DataFrame, by: list[str], value: str, order: str, rounds: int = 2000, seed: int = 1337, level: float = 0.95) -> DataFrame:
-    """Percentile interval of the mean from Python's own generator, a group at a time; groups are the few values of one comparison."""
+def bootstrap_mean(rows: DataFrame, by: list[str], value: str, rounds: int = 2000, seed: int = 1337, level: float = 0.95) -> DataFrame:
+    """Percentile interval of the mean. In each round every value counts as often as a Poisson number of mean 1 says, drawn by a hash of the value,
+    its place among equal ones and the round: the usual resampling for data of any size. Values are dealt to tasks once a block of 32 rounds."""
+    tied = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_x")).agg(F.count("*").alias("_c"))
+    each = tied.select(*by, "_x", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_c"))).alias("_c"))
+    words = each.select(*by, "_x", "_c", F.explode(F.sequence(F.lit(0), F.lit(-(-rounds // 32) - 1))).alias("_w"))
+    steps = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)]).tolist()
 
-    def interval(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(order)[value].to_numpy(float)
-        draw = random.Random(seed)
-        means = np.sort([x[[draw.randrange(len(x)) for _ in range(len(x))]].mean() for _ in range(rounds)])
-        ends = np.quantile(means, [(1 - level) / 2, (1 + level) / 2])
-        return pdf.iloc[:1][by].assign(mean=x.mean(), low=ends[0], high=ends[1])
+    def drawn(k: int) -> Column:
+        u = F.pmod(F.xxhash64(F.lit(seed), "_w", F.lit(k), "_x", "_c"), F.lit(1 << 53)) / F.lit(float(1 << 53))
+        return reduce(lambda a, b: a + b, [(u >= p).cast("int") for p in steps])
 
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
-    return rows.groupBy(*by).applyInPandas(interval, f"{kinds}, mean double, low double, high double")
+    sums = words.groupBy(*by, "_w").agg(*[F.struct(F.sum(F.col("_x") * drawn(k)).alias("s"), F.sum(drawn(k)).alias("n")).alias(f"_{k}") for k in range(32)])
+    means = sums.select(*by, "_w", F.posexplode(F.array(*[F.col(f"_{k}") for k in range(32)])).alias("_k", "_s")).where(F.col("_w") * 32 + F.col("_k") < rounds)
+    means = means.select(*by, F.try_divide("_s.s", "_s.n").alias("_mean"))  # as many rows a group as rounds
+    ends = quantiles(means, by, "_mean", {"low": (1 - level) / 2, "high": (1 + level) / 2})
+    return rows.groupBy(*by).agg(F.avg(value).alias("mean")).join(ends, by)
 
 
 def sign_flip(rows: DataFrame, by: list[str], value: str, rounds: int = 2000, seed: int = 1337) -> DataFrame:
@@ -230,14 +276,26 @@ def confusion(rows: DataFrame, expected: str, predicted: str) -> DataFrame:
     return cells.withColumn("accuracy", F.round(right / total, 8))
 
 
+def normalised_path(path: Column) -> Column:
+    """A request's path with digests, UUIDs, whole numbers and overlong segments replaced, so that paths are few."""
+    segment = lambda x: (
+        F.when(x.rlike("^[0-9a-fA-F]{64}$"), ":sha256").when(x.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"), ":uuid").when(x.rlike("^[0-9]{1,20}$"), ":int").when(F.length(x) > 80, ":opaque").otherwise(x)
+    )
+    return F.concat(F.lit("/"), F.array_join(F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), segment), "/"))
+
+
 def route_metrics(requests: DataFrame, limit: int = 64) -> DataFrame:
-    """Rows (route, first_seen, duration, failed) to requests, failures, mean and largest duration a route; routes beyond the ``limit``
-    first seen fold into ``/:other``."""
-    each = requests.groupBy("route").agg(F.min("first_seen").alias("_f"), F.count("*").alias("n"), F.count_if("failed").alias("failures"), F.sum("duration").alias("_d"), F.max("duration").alias("_m"))
-    listed = each.orderBy("_f", "route").limit(limit).select(F.col("route").alias("_known"))
-    named = each.join(F.broadcast(listed), F.col("route") == F.col("_known"), "left").withColumn("route", F.coalesce("_known", F.lit("/:other")))
-    return named.groupBy("route").agg(
-        F.sum("n").alias("requests"), F.sum("failures").alias("failures"), F.round(F.sum("_d") / F.sum("n"), 6).alias("mean_duration"), F.max("_m").alias("max_duration")
+    """Rows (method, path, status, first_seen, duration) to requests, 4xx and 5xx answers, mean and largest duration a method and normalised path; routes
+    beyond the ``limit`` first seen fold into ``/:other`` of their method."""
+    named = requests.withColumn("path", normalised_path(F.col("path")))
+    status = F.col("status")
+    each = named.groupBy("method", "path").agg(
+        F.min("first_seen").alias("_f"), F.count("*").alias("n"), F.count_if((status >= 400) & (status < 500)).alias("x4"), F.count_if(status >= 500).alias("x5"), F.sum("duration").alias("_d"), F.max("duration").alias("_m")
+    )
+    listed = each.orderBy("_f", "method", "path").limit(limit).select(F.col("method").alias("_km"), F.col("path").alias("_kp"))
+    met = each.join(F.broadcast(listed), (F.col("method") == F.col("_km")) & (F.col("path") == F.col("_kp")), "left").withColumn("path", F.coalesce("_kp", F.lit("/:other")))
+    return met.groupBy("method", "path").agg(
+        F.sum("n").alias("requests"), F.sum("x4").alias("errors_4xx"), F.sum("x5").alias("errors_5xx"), F.round(F.sum("_d") / F.sum("n"), 3).alias("duration_mean"), F.round(F.max("_m"), 3).alias("duration_max")
     )
 
 
@@ -345,10 +403,10 @@ def _pairs(spark, sf_dir) -> DataFrame:
 
 @query(
     "paired_analysis",
-    f"""WITH {_PAIRS}, g AS (SELECT l_returnflag, count(*) AS n, count(*) FILTER (treatment - baseline < -1e-12) AS wins, count(*) FILTER (abs(treatment - baseline) <= 1e-12) AS ties, count(*) FILTER (treatment - baseline > 1e-12) AS losses,
-round(avg(treatment - baseline), 6) AS mean_difference, round(median(treatment - baseline), 6) AS median_difference, round(exp(avg(ln(treatment / baseline))), 8) AS geometric_ratio,
-round(avg(treatment - baseline) / stddev_samp(treatment - baseline), 8) AS effect_size FROM e GROUP BY 1)
-SELECT *, round(least(1, (SELECT sum(exp(lgamma(wins + losses + 1) - lgamma(i + 1) - lgamma(wins + losses - i + 1) - (wins + losses) * ln(2))) * 2 FROM range(0, least(wins, losses) + 1) AS x(i))), 8) AS sign_p FROM g""",
+    f"""WITH {_PAIRS}, i AS (SELECT *, baseline - treatment AS d FROM e), g AS (SELECT l_returnflag, count(*) AS n, count(*) FILTER (d > 1e-12) AS wins, count(*) FILTER (abs(d) <= 1e-12) AS ties, count(*) FILTER (d < -1e-12) AS losses,
+round(avg(d), 6) AS mean_improvement, round(avg(d / abs(baseline)) FILTER (baseline <> 0), 8) AS mean_relative_improvement, round(exp(avg(ln(treatment / baseline))), 8) AS geometric_ratio,
+round(avg(d) / stddev_samp(d), 8) AS effect_size, round(median(d), 6) AS median_improvement FROM i GROUP BY 1)
+SELECT *, round(wins / (wins + losses), 8) AS win_rate, round(least(1, (SELECT sum(exp(lgamma(wins + losses + 1) - lgamma(i + 1) - lgamma(wins + losses - i + 1) - (wins + losses) * ln(2))) * 2 FROM range(0, least(wins, losses) + 1) AS x(i))), 8) AS sign_p FROM g""",
 )
 def _paired(spark, sf_dir):
     return paired(_pairs(spark, sf_dir), ["l_returnflag"])
@@ -356,7 +414,7 @@ def _paired(spark, sf_dir):
 
 @query("bootstrap_interval")
 def _bootstrap(spark, sf_dir):
-    return bootstrap_mean(_pairs(spark, sf_dir).withColumn("d", F.col("treatment") - F.col("baseline")), ["l_returnflag"], "d", "l_suppkey")
+    return bootstrap_mean(_pairs(spark, sf_dir).withColumn("d", F.col("baseline") - F.col("treatment")), ["l_returnflag"], "d")
 
 
 _FLIPS = "f AS (SELECT n_regionkey, n_name, round(avg(c_acctbal), 2) - 4500 AS v FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2)"
@@ -403,11 +461,15 @@ def _confusion(spark, sf_dir):
 
 @query(
     "route_metrics",
-    """WITH e AS (SELECT '/' || event_type || '/' || (user_id % 20) AS route, * FROM events), g AS (SELECT route, min(event_id) AS f, count(*) AS n, count(*) FILTER (event_type = 'error') AS x, sum(value) AS d, max(value) AS m FROM e GROUP BY 1),
-r AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY f, route) <= 64 THEN route ELSE '/:other' END AS r FROM g)
-SELECT r AS route, sum(n)::BIGINT AS requests, sum(x)::BIGINT AS failures, round(sum(d) / sum(n), 6) AS mean_duration, max(m) AS max_duration FROM r GROUP BY 1""",
+    """WITH e AS (SELECT CASE WHEN user_id % 3 = 0 THEN 'POST' ELSE 'GET' END AS method, '/' || event_type || '/' || CASE WHEN user_id % 2 = 0 THEN ':int' ELSE 'u' || (user_id % 40) END AS path, CASE event_type WHEN 'error' THEN 500 WHEN 'signup' THEN 404 ELSE 200 END AS status, event_id, value FROM events),
+g AS (SELECT method, path, min(event_id) AS f, count(*) AS n, count(*) FILTER (status BETWEEN 400 AND 499) AS x4, count(*) FILTER (status >= 500) AS x5, sum(value) AS d, max(value) AS m FROM e GROUP BY 1, 2),
+r AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY f, method, path) <= 64 THEN path ELSE '/:other' END AS r FROM g)
+SELECT method, r AS path, sum(n)::BIGINT AS requests, sum(x4)::BIGINT AS errors_4xx, sum(x5)::BIGINT AS errors_5xx, round(sum(d) / sum(n), 3) AS duration_mean, round(max(m), 3) AS duration_max FROM r GROUP BY 1, 2""",
 )
 def _routes(spark, sf_dir):
-    route = F.concat(F.lit("/"), "event_type", F.lit("/"), (F.col("user_id") % 20).cast("string"))
-    requests = table(spark, sf_dir, "events").select(route.alias("route"), F.col("event_id").alias("first_seen"), F.col("value").alias("duration"), (F.col("event_type") == "error").alias("failed"))
+    last = F.when(F.col("user_id") % 2 == 0, F.col("user_id").cast("string")).otherwise(F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string")))
+    requests = table(spark, sf_dir, "events").select(
+        F.when(F.col("user_id") % 3 == 0, "POST").otherwise("GET").alias("method"), F.concat(F.lit("//"), "event_type", F.lit("/"), last).alias("path"),
+        F.when(F.col("event_type") == "error", 500).when(F.col("event_type") == "signup", 404).otherwise(200).alias("status"), F.col("event_id").alias("first_seen"), F.col("value").alias("duration"),
+    )
     return route_metrics(requests)

@@ -1,7 +1,7 @@
 """Access traces: rows (trace_id, pos, key) with positions from 0 without gaps. Profiles, drift, windows and phases.
 
 No step needs the whole trace in one task: adjacency is a join on pos + 1, ranks come from the histogram of frequencies (it has at
-most about sqrt(2n) rows), and windows are exploded and grouped.
+most about sqrt(2n) rows, and long tails are summed ``CHUNK`` ranks at a time), and windows are exploded and grouped.
 """
 
 from __future__ import annotations
@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.access import positions
 from ..registry import query, table
 
 SEQUENTIAL, HOTSPOT, ZIPF_THETA, ZIPF_FIT = 0.80, 0.70, (0.5, 2.5), 0.85
 DRIFT = 0.20
+CHUNK = 1 << 16  # ranks of a row
 
 
 def frequencies(trace: DataFrame, by: list[str]) -> DataFrame:
@@ -21,11 +23,19 @@ def frequencies(trace: DataFrame, by: list[str]) -> DataFrame:
     return trace.groupBy(*by, "key").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
 
 
-def _ranked(freq: DataFrame, by: list[str]) -> DataFrame:
-    """(by, n, rank): a row a key, ranked by falling frequency. The windowed table has a row a distinct frequency."""
+def _levels(freq: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, m, b): how many keys occur n times, and how many more often. A row a distinct frequency, about sqrt(2 accesses) at most."""
     ties = freq.groupBy(*by, "n").agg(F.count("*").alias("m"))
     before = F.coalesce(F.sum("m").over(W.partitionBy(*by).orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return ties.withColumn("b", before).select(*by, "n", F.explode(F.sequence(F.col("b") + 1, F.col("b") + F.col("m"))).alias("rank"))
+    return ties.withColumn("b", before)
+
+
+def _rank_logs(levels: DataFrame) -> DataFrame:
+    """Add, for ranks b + 1 to b + m, the sums _x of ln(rank) and _xx of its square; ``CHUNK`` ranks a row."""
+    cut = levels.withColumn("_lo", F.explode(F.expr(f"sequence(b + 1, b + m, {CHUNK}L)")))
+    own = "sequence(_lo, least(_lo + {0} - 1, b + m))".format(CHUNK)
+    add = lambda value: F.expr(f"aggregate({own}, cast(0 as double), (t, r) -> t + {value})")
+    return cut.withColumns({"_x": add("ln(r)"), "_xx": add("ln(r) * ln(r)"), "_w": F.least(F.lit(CHUNK), F.col("b") + F.col("m") - F.col("_lo") + 1)})
 
 
 def classify(sequential: Column, top: Column, theta: Column, fit: Column) -> Column:
@@ -43,21 +53,21 @@ def profile(trace: DataFrame, by: list[str] | None = None) -> DataFrame:
     The Zipf fit is null with fewer than four keys or one frequency. Floats are rounded to 8 digits after the label is found."""
     by = by or ["trace_id"]
     freq = frequencies(trace, by)
-    ranked = _ranked(freq, by)
     totals = freq.groupBy(*by).agg(F.sum("n").alias("accesses"), F.count("*").alias("unique_keys"), F.countDistinct("n").alias("_levels"))
-    p = F.col("n") / F.col("accesses")
+    p, y, k = F.col("n") / F.col("accesses"), F.log("n"), F.col("_w").cast("double")
     take = lambda share: F.greatest(F.lit(1), F.ceil(F.col("unique_keys") * share))
-    stats = (
-        ranked.join(totals, by)
+    inside = lambda share: F.least(F.col("_w"), F.greatest(F.lit(0).cast("long"), take(share) - F.col("_lo") + 1))  # noqa: E731  ranks of the row among the top
+    sums = (
+        _rank_logs(_levels(freq, by)).join(totals, by)
         .groupBy(*by, "accesses", "unique_keys", "_levels")
         .agg(
-            F.sum(-p * F.log(p)).alias("_h"),
-            F.sum(F.when(F.col("rank") <= take(0.01), F.col("n"))).alias("_top1"),
-            F.sum(F.when(F.col("rank") <= take(0.10), F.col("n"))).alias("_top10"),
-            F.regr_slope(F.log("n"), F.log("rank")).alias("_slope"),
-            F.regr_r2(F.log("n"), F.log("rank")).alias("_r2"),
+            F.sum(-p * F.log(p) * k).alias("_h"), F.sum(F.col("n") * inside(0.01)).alias("_top1"), F.sum(F.col("n") * inside(0.10)).alias("_top10"),
+            F.sum(k).alias("_k"), F.sum("_x").alias("_sx"), F.sum("_xx").alias("_sxx"), F.sum(y * k).alias("_sy"), F.sum(y * y * k).alias("_syy"), F.sum(y * F.col("_x")).alias("_sxy"),
         )
     )
+    cov = lambda a, b, ab: F.col(ab) - F.col(a) * F.col(b) / F.col("_k")
+    xy, xx, yy = cov("_sx", "_sy", "_sxy"), cov("_sx", "_sx", "_sxx"), cov("_sy", "_sy", "_syy")
+    stats = sums.withColumns({"_slope": F.try_divide(xy, xx), "_r2": F.try_divide(xy * xy, xx * yy)})
     after = trace.select(*by, (F.col("pos") - 1).alias("pos"), F.col("key").alias("_next"))
     steps = trace.join(after, [*by, "pos"]).groupBy(*by).agg((F.count_if(F.col("_next") == F.col("key") + 1) / F.count("*")).alias("_seq"))
     fits = (F.col("unique_keys") >= 4) & (F.col("_levels") > 1)
@@ -91,10 +101,11 @@ def drift(left: DataFrame, right: DataFrame, threshold: float = DRIFT) -> DataFr
         one = trace.withColumn("_one", F.lit(1))
         freq = shares(frequencies(one, ["_one"]), ["_one"], "key", "n")
         take = freq.agg(F.greatest(F.lit(1), F.ceil(F.count("*") * 0.10)).alias("_take"))
-        levels = freq.groupBy("n").agg(F.count("*").alias("_m"))
-        above = levels.withColumn("_above", F.coalesce(F.sum("_m").over(W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_m")
-        rank = F.col("_above") + F.row_number().over(W.partitionBy("n").orderBy("first"))
-        hot = freq.join(above, "n").crossJoin(F.broadcast(take)).withColumn("hot", rank <= F.col("_take"))  # one row
+        levels = _levels(freq.select("_one", "n"), ["_one"]).crossJoin(F.broadcast(take))  # one row
+        whole = levels.select("n", (F.col("b") + F.col("m") <= F.col("_take")).alias("_all"), (F.col("_take") - F.col("b")).alias("_left")).where("_left > 0")
+        met = freq.join(whole, "n", "left").select("key", "p", "first", F.coalesce("_all", F.lit(False)).alias("_all"), "_left")
+        cut = positions(met.where("NOT _all AND _left > 0"), "first").select(F.col("key").alias("_key"), (F.col("position") < F.col("_left")).alias("_in"))  # keys of the one frequency that the cut falls in
+        hot = met.join(cut, F.col("key") == F.col("_key"), "left").withColumn("hot", F.col("_all") | F.coalesce("_in", F.lit(False)))
         return hot.select("key", F.col("p").alias(f"p_{name}"), F.col("hot").alias(f"hot_{name}"))
 
     p, q = F.coalesce("p_a", F.lit(0.0)), F.coalesce("p_b", F.lit(0.0))
@@ -188,8 +199,8 @@ def _trace_profile(spark, sf_dir):
 @query("trace_profile_by_type", _profile_sql(_TYPED, "trace_id"))
 def _trace_by_type(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    pos = F.row_number().over(W.partitionBy("event_type").orderBy("event_id")) - 1  # five traces, one task each
-    return profile(events.select(F.col("event_type").alias("trace_id"), pos.cast("long").alias("pos"), F.col("user_id").alias("key")))
+    placed = positions(events.select(F.col("event_type").alias("trace_id"), "event_id", F.col("user_id").alias("key")), "event_id", by=["trace_id"], name="pos")
+    return profile(placed.select("trace_id", "pos", "key"))
 
 
 @query("trace_windows", _profile_sql(_WINDOWED, "trace_id, window_idx"))

@@ -50,16 +50,27 @@ def contains(postings: DataFrame, probes: DataFrame, on: list[str]) -> DataFrame
     return probes.join(known, on, "left").withColumn("contained", F.coalesce("_there", F.lit(False))).drop("_there")
 
 
-def positions(records: DataFrame, slot: str, width: int = 1 << 16) -> DataFrame:
-    """Add ``position``: how many live slots come before, without one task that sees all rows. Slots are counted a range of
+def positions(records: DataFrame, slot: str, width: int = 1 << 16, by: list[str] | None = None, name: str = "position") -> DataFrame:
+    """Add ``position``: how many live slots (of the same group) come before, without one task that sees all rows. Slots are counted a range of
     ``width`` at a time; the ranges' running sum has a row a range."""
     from pyspark.sql import Window as W
 
+    by = by or []
     ranged = records.withColumn("_r", F.floor(F.col(slot) / width))
-    counts = ranged.groupBy("_r").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_b", F.coalesce(F.sum("_n").over(W.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    within = F.row_number().over(W.partitionBy("_r").orderBy(slot)) - 1
-    return ranged.join(before, "_r").withColumn("position", (F.col("_b") + within).cast("long")).drop("_r", "_b")
+    counts = ranged.groupBy(*by, "_r").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_b", F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    within = F.row_number().over(W.partitionBy(*by, "_r").orderBy(slot)) - 1
+    return ranged.join(before, [*by, "_r"]).withColumn(name, (F.col("_b") + within).cast("long")).select(*records.columns, name)
+
+
+def resolve_position(records: DataFrame, slot: str, position: int) -> DataFrame:
+    """The record at a position; one that is out of range raises when the result is computed."""
+    if position < 0:
+        raise IndexError(f"position {position} is out of range")
+    found = positions(records, slot).where(F.col("position") == position)
+    there = found.agg(F.count("*").alias("_n"), F.first(F.struct(*records.columns)).alias("_w"))
+    checked = F.when(F.col("_n") == 0, F.raise_error(F.lit(f"position {position} is out of range")).cast("long")).otherwise(F.col("_n"))
+    return there.withColumn("_n", checked).where("_n > 0").select("_w.*")
 
 
 def summary_of(column: str) -> list[Column]:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..registry import query, table
+from ..storage import written
+from .ordered import prefix_sums
 
 
 def build(edges: DataFrame, directed: bool = True, node_count: int | None = None) -> DataFrame:
@@ -27,29 +31,26 @@ def neighbours(graph: DataFrame, node: int) -> DataFrame:
 def bfs(graph: DataFrame, start: int, max_depth: int | None = None) -> DataFrame:
     """Rows (node, depth, visit_rank): level by level, within a level by the parent's rank, then by node.
 
-    A level is one join of the frontier with the edges, a grouped minimum and an anti-join; each is written to the checkpoint
-    folder so that lineage stays short. Ranks within a level come from counts a parent, so no task sees a whole level unless it is
-    the children of one parent."""
+    A level is one join of the frontier with the edges, a grouped minimum and an anti-join; each is written to the shared folder, so that
+    lineage stays short. Ranks within a level come from counts a parent, added up by ranges of the parents' ranks, so no task sees a
+    whole level unless it is the children of one parent."""
     spark = graph.sparkSession
-    visited = spark.createDataFrame([(start, 0, 0)], "node long, depth int, visit_rank long")
-    frontier, depth, seen = visited, 0, 1
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
+    levels = [spark.createDataFrame([(start, 0, 0)], "node long, depth int, visit_rank long")]
+    depth, seen = 0, 1
     while max_depth is None or depth < max_depth:
         depth += 1
+        frontier, visited = levels[-1], reduce(DataFrame.unionByName, levels)
         met = frontier.join(graph, frontier["node"] == graph["src"]).groupBy(F.col("dst").alias("node")).agg(F.min("visit_rank").alias("parent"))
         new = met.join(visited.select("node"), "node", "left_anti")
-        per_parent = new.groupBy("parent").agg(F.count("*").alias("_n"))
-        before = per_parent.withColumn("_b", F.coalesce(F.sum("_n").over(W.orderBy("parent").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+        before = prefix_sums(new.groupBy("parent").agg(F.count("*").alias("_n")), "parent", "_n", "_before")
         within = F.row_number().over(W.partitionBy("parent").orderBy("node")) - 1
-        level = new.join(before.select("parent", "_b"), "parent").select("node", F.lit(depth).alias("depth"), (F.col("_b") + within + seen).cast("long").alias("visit_rank"))
-        frontier = level.checkpoint()
-        found = frontier.count()
+        level = new.join(before.select("parent", "_before"), "parent").select("node", F.lit(depth).alias("depth"), (F.col("_before") + within + seen).cast("long").alias("visit_rank"))
+        levels.append(written(level, "level"))
+        found = levels[-1].count()
         if not found:
             break
         seen += found
-        visited = visited.unionByName(frontier).checkpoint()
-    return visited
+    return reduce(DataFrame.unionByName, levels)
 
 
 def _supply(spark, sf_dir) -> DataFrame:

@@ -16,16 +16,35 @@ def entry_hash(previous: str = "previous_hash"):
     return F.sha2(F.concat_ws("\n", F.col(previous), F.col("timestamp"), F.col("kind"), F.col("subject"), F.col("payload")), 256)
 
 
-def ledger_breaks(ledger: DataFrame) -> DataFrame:
-    """Entries (sequence from 0 without gaps) whose hash is not their own, or whose predecessor's is not the one they name."""
-    before = ledger.select((F.col("sequence") + 1).alias("sequence"), F.col("entry_hash").alias("_prev"))
-    met = ledger.join(before, "sequence", "left").withColumn("_prev", F.when(F.col("sequence") == 0, ZEROS).otherwise(F.coalesce("_prev", F.lit("missing"))))
-    return met.where((F.col("previous_hash") != F.col("_prev")) | (F.col("entry_hash") != entry_hash())).select("sequence", (F.col("entry_hash") != entry_hash()).alias("altered"))
+def ledger_append(entries: DataFrame, ledger: list[str], previous: DataFrame | None = None) -> DataFrame:
+    """Rows (ledger, sequence, timestamp, kind, subject, payload) with previous_hash and entry_hash: each entry names the hash of the one before it. Each
+    ledger goes on from its last entry in ``previous`` (ledger, entry_hash). A hash needs the one before, so an append to one ledger is one row's work."""
+    part = F.struct("sequence", "timestamp", "kind", "subject", "payload")
+    batch = entries.groupBy(*ledger).agg(F.array_sort(F.collect_list(part)).alias("_e"))
+    batch = batch.withColumn("_last", F.lit(None).cast("string")) if previous is None else batch.join(previous.select(*ledger, F.col("entry_hash").alias("_last")), ledger, "left")
+    chained = F.expr(
+        f"""aggregate(_e, array(coalesce(_last, '{ZEROS}')),
+          (h, e) -> concat(h, array(sha2(concat_ws('\n', element_at(h, -1), e.timestamp, e.kind, e.subject, e.payload), 256))))"""
+    )
+    each = batch.withColumn("_h", chained).select(*ledger, F.posexplode("_e").alias("_i", "_x"), "_h")
+    return each.select(*ledger, "_x.*", F.col("_h")[F.col("_i")].alias("previous_hash"), F.col("_h")[F.col("_i") + 1].alias("entry_hash"))
+
 
+def ledger_breaks(entries: DataFrame, ledger: list[str] | None = None) -> DataFrame:
+    """Entries (sequence from 0 without gaps in each ledger) whose hash is not their own, or whose predecessor's is not the one they name."""
+    ledger = ledger or []
+    before = entries.select(*ledger, (F.col("sequence") + 1).alias("sequence"), F.col("entry_hash").alias("_prev"))
+    met = entries.join(before, [*ledger, "sequence"], "left").withColumn("_prev", F.when(F.col("sequence") == 0, ZEROS).otherwise(F.coalesce("_prev", F.lit("missing"))))
+    return met.where((F.col("previous_hash") != F.col("_prev")) | (F.col("entry_hash") != entry_hash())).select(*ledger, "sequence", (F.col("entry_hash") != entry_hash()).alias("altered"))
 
-def ledger_verdict(ledger: DataFrame) -> DataFrame:
-    """One row: entries, and the first broken sequence (null if the chain holds)."""
-    return ledger.agg(F.count("*").alias("entries")).crossJoin(ledger_breaks(ledger).agg(F.min("sequence").alias("first_break")))  # a row each
+
+def ledger_verdict(entries: DataFrame, ledger: list[str] | None = None) -> DataFrame:
+    """A row a ledger: entries, altered entries, and the first broken sequence (null if the chain holds)."""
+    ledger, breaks = ledger or [], ledger_breaks(entries, ledger)
+    broken = breaks.groupBy(*ledger).agg(F.min("sequence").alias("first_break"), F.count_if("altered").alias("altered"))
+    counted = entries.groupBy(*ledger).agg(F.count("*").alias("entries"))
+    met = counted.join(broken, ledger, "left") if ledger else counted.crossJoin(broken)  # a row each
+    return met.withColumn("altered", F.coalesce("altered", F.lit(0)))
 
 
 def evidence_digest(digests: DataFrame, by: list[str], digest: str) -> DataFrame:
@@ -54,13 +73,17 @@ def unresolved(ambiguous: DataFrame, resolutions: DataFrame, key: str) -> DataFr
     return ambiguous.join(resolutions.select(key), key, "left_anti")
 
 
-def idempotency(requests: DataFrame, journal: DataFrame, key: str, digest: str) -> DataFrame:
-    """Outcome of each request against the journal (one row a key: digest, state)."""
+def idempotency(requests: DataFrame, journal: DataFrame, key: str, digest: str, resolutions: DataFrame | None = None) -> DataFrame:
+    """Outcome of each request against the journal (one row a key: digest, state) and the resolutions (one row a key: resolution) of failures whose
+    side effect was unknown."""
     j = journal.select(key, F.col(digest).alias("_d"), F.col("state").alias("_s"))
-    return requests.join(j, key, "left").withColumn(
+    met = requests.join(j, key, "left")
+    met = met.withColumn("_r", F.lit(None).cast("string")) if resolutions is None else met.join(resolutions.select(key, F.col("resolution").alias("_r")), key, "left")
+    return met.withColumn(
         "outcome",
-        F.when(F.col("_s").isNull(), "NEW").when(F.col("_d") != F.col(digest), "CONFLICT").when(F.col("_s") == "COMPLETED", "REPLAY").when(F.col("_s") == "PENDING", "IN_PROGRESS").otherwise("AMBIGUOUS"),
-    ).drop("_d", "_s")
+        F.when(F.col("_s").isNull(), "NEW").when(F.col("_d") != F.col(digest), "CONFLICT").when(F.col("_s") == "COMPLETED", "REPLAY").when(F.col("_s") == "PENDING", "IN_PROGRESS")
+        .when(F.col("_r") == "SIDE_EFFECT_PRESENT", "RESOLVED_SIDE_EFFECT").otherwise("AMBIGUOUS"),
+    ).drop("_d", "_s", "_r")
 
 
 def contiguous(log: DataFrame, lineage: list[str], sequence: str, time: str, outcome: str, terminal: str) -> DataFrame:
@@ -88,28 +111,26 @@ def verify_records(stored: DataFrame, content: str, size: str, digest: str, fiel
     return stored.withColumns(checks).withColumn("verified", F.col("size_ok") & F.col("digest_ok") & F.col("keys_ok") & F.col("fields_ok"))
 
 
-def _chain_free(spark, sf_dir) -> DataFrame:
-    """Entries that name the hash of their predecessor's content; every 97th is altered afterwards."""
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("sequence"), F.col("ts").cast("string").alias("timestamp"), F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("subject"), F.col("props").alias("payload"))
-    own = e.withColumn("_h", F.sha2(F.concat_ws("\n", "kind", "subject", "payload"), 256))
-    before = own.select((F.col("sequence") + 1).alias("sequence"), F.col("_h").alias("_p"))
-    named = own.join(before, "sequence", "left").withColumn("previous_hash", F.coalesce("_p", F.lit(ZEROS)))
-    return named.select("sequence", "kind", "subject", F.when(F.col("sequence") % 97 == 96, "altered").otherwise(F.col("payload")).alias("payload"), "previous_hash", F.col("_h").alias("entry_hash"))
+def _ledgers(spark, sf_dir) -> DataFrame:
+    """A ledger a user and ten thousand events; every 97th event is altered afterwards."""
+    e = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("ledger"), F.floor(F.col("event_id") / 10000).alias("part"), "event_id", F.col("event_id").cast("string").alias("timestamp"), F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("subject"), F.col("props").alias("payload")
+    )
+    numbered = e.withColumn("sequence", (F.row_number().over(W.partitionBy("ledger", "part").orderBy("event_id")) - 1).cast("long")).drop("event_id")
+    return ledger_append(numbered, ["ledger", "part"]).withColumn("payload", F.when(F.col("timestamp").cast("long") % 97 == 96, "altered").otherwise(F.col("payload")))
 
 
 @query(
     "ledger_verify",
-    f"""WITH e AS (SELECT event_id AS sequence, event_type AS kind, user_id::VARCHAR AS subject, props AS payload, sha256(concat_ws(chr(10), event_type, user_id::VARCHAR, props)) AS h FROM events),
-l AS (SELECT sequence, kind, subject, CASE WHEN sequence % 97 = 96 THEN 'altered' ELSE payload END AS payload, coalesce(lag(h) OVER (ORDER BY sequence), '{ZEROS}') AS previous_hash, h AS entry_hash FROM e),
-c AS (SELECT *, coalesce(lag(entry_hash) OVER (ORDER BY sequence), '{ZEROS}') AS prev FROM l)
-SELECT count(*) AS entries, min(sequence) FILTER (previous_hash <> prev OR entry_hash <> sha256(concat_ws(chr(10), kind, subject, payload))) AS first_break, count(*) FILTER (entry_hash <> sha256(concat_ws(chr(10), kind, subject, payload))) AS altered FROM c""",
+    f"""WITH RECURSIVE e AS MATERIALIZED (SELECT user_id AS ledger, event_id // 10000 AS part, row_number() OVER (PARTITION BY user_id, event_id // 10000 ORDER BY event_id) - 1 AS sequence, event_id, event_id::VARCHAR AS ts, event_type AS kind, user_id::VARCHAR AS subject, props AS payload FROM events),
+c AS (SELECT ledger, part, sequence, event_id, '{ZEROS}' AS prev, sha256(concat_ws(chr(10), '{ZEROS}', ts, kind, subject, payload)) AS h FROM e WHERE sequence = 0
+UNION ALL SELECT e.ledger, e.part, e.sequence, e.event_id, c.h, sha256(concat_ws(chr(10), c.h, e.ts, e.kind, e.subject, e.payload)) FROM c JOIN e ON e.ledger = c.ledger AND e.part = c.part AND e.sequence = c.sequence + 1),
+l AS (SELECT c.*, e.ts, e.kind, e.subject, CASE WHEN c.event_id % 97 = 96 THEN 'altered' ELSE e.payload END AS payload FROM c JOIN e USING (event_id)),
+v AS (SELECT *, h <> sha256(concat_ws(chr(10), prev, ts, kind, subject, payload)) AS bad, prev <> coalesce(lag(h) OVER (PARTITION BY ledger, part ORDER BY sequence), '{ZEROS}') AS torn FROM l)
+SELECT ledger, part, count(*) AS entries, min(sequence) FILTER (bad OR torn) AS first_break, count(*) FILTER (bad) AS altered FROM v GROUP BY 1, 2""",
 )
 def _ledger(spark, sf_dir):
-    ledger = _chain_free(spark, sf_dir)
-    before = ledger.select((F.col("sequence") + 1).alias("sequence"), F.col("entry_hash").alias("_prev"))
-    own = F.sha2(F.concat_ws("\n", "kind", "subject", "payload"), 256)
-    met = ledger.join(before, "sequence", "left").withColumn("_bad", (F.col("previous_hash") != F.coalesce("_prev", F.lit(ZEROS))) | (F.col("entry_hash") != own))
-    return met.agg(F.count("*").alias("entries"), F.min(F.when(F.col("_bad"), F.col("sequence"))).alias("first_break"), F.count_if(F.col("entry_hash") != own).alias("altered"))
+    return ledger_verdict(_ledgers(spark, sf_dir), ["ledger", "part"])
 
 
 @query("evidence_digest", "SELECT user_id, sha256(string_agg(DISTINCT sha256(event_type), chr(10) ORDER BY sha256(event_type))) AS chain FROM events GROUP BY 1")
@@ -130,10 +151,10 @@ def _gate(spark, sf_dir):
 
 @query(
     "complete_pairs",
-    "SELECT l_suppkey, l_linenumber FROM lineitem WHERE l_returnflag IN ('A', 'N', 'R') AND l_quantity = 7 GROUP BY 1, 2 HAVING count(DISTINCT l_returnflag) = 3 AND count(*) = 3",
+    "SELECT l_partkey, l_linenumber FROM lineitem WHERE l_returnflag IN ('A', 'N', 'R') GROUP BY 1, 2 HAVING count(DISTINCT l_returnflag) = 3 AND count(*) = 3",
 )
 def _complete_pairs(spark, sf_dir):
-    return complete_pairs(table(spark, sf_dir, "lineitem").where("l_quantity = 7"), ["l_suppkey", "l_linenumber"], "l_returnflag", ["A", "N", "R"])
+    return complete_pairs(table(spark, sf_dir, "lineitem"), ["l_partkey", "l_linenumber"], "l_returnflag", ["A", "N", "R"])
 
 
 @query(
@@ -164,13 +185,17 @@ def _unresolved(spark, sf_dir):
 
 @query(
     "idempotency_outcomes",
-    "WITH j AS (SELECT o_custkey AS k, max(o_orderpriority) AS d, CASE count(*) % 3 WHEN 0 THEN 'COMPLETED' WHEN 1 THEN 'PENDING' ELSE 'AMBIGUOUS' END AS state FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) "
-    "SELECT c_custkey AS k, '5-LOW' AS d, CASE WHEN state IS NULL THEN 'NEW' WHEN j.d <> '5-LOW' THEN 'CONFLICT' WHEN state = 'COMPLETED' THEN 'REPLAY' WHEN state = 'PENDING' THEN 'IN_PROGRESS' ELSE 'AMBIGUOUS' END AS outcome FROM customer LEFT JOIN j ON k = c_custkey",
+    "WITH j AS (SELECT o_custkey AS k, max(o_orderpriority) AS d, CASE count(*) % 3 WHEN 0 THEN 'COMPLETED' WHEN 1 THEN 'PENDING' ELSE 'AMBIGUOUS' END AS state FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), "
+    "s AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT') "
+    "SELECT c_custkey AS k, '5-LOW' AS d, CASE WHEN state IS NULL THEN 'NEW' WHEN j.d <> '5-LOW' THEN 'CONFLICT' WHEN state = 'COMPLETED' THEN 'REPLAY' WHEN state = 'PENDING' THEN 'IN_PROGRESS' WHEN s.k IS NOT NULL THEN 'RESOLVED_SIDE_EFFECT' ELSE 'AMBIGUOUS' END AS outcome "
+    "FROM customer LEFT JOIN j ON j.k = c_custkey LEFT JOIN s ON s.k = c_custkey",
 )
 def _idempotency(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
     state = F.element_at(F.array(*map(F.lit, ("COMPLETED", "PENDING", "AMBIGUOUS"))), (F.count("*") % 3 + 1).cast("int"))
-    journal = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderpriority").alias("d"), state.alias("state"))
-    return idempotency(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.lit("5-LOW").alias("d")), journal, "k", "d")
+    journal = orders.where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderpriority").alias("d"), state.alias("state"))
+    resolved = orders.where("o_orderstatus = 'O' AND o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("k")).distinct().withColumn("resolution", F.lit("SIDE_EFFECT_PRESENT"))
+    return idempotency(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.lit("5-LOW").alias("d")), journal, "k", "d", resolved)
 
 
 @query(

@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..registry import query, table
+from .access import positions
 
 
-def insert(records: DataFrame, new: DataFrame, slot: str, high_water: int, order: list[str]) -> DataFrame:
+def insert(records: DataFrame, new: DataFrame, slot: str, high_water: int, order: str) -> DataFrame:
     """Append ``new``; slot ids go on from ``high_water``, the largest ever given, so a deleted slot is never reused.
 
-    New rows are numbered together: a batch of inserts is one change log, small beside the records."""
-    numbered = new.withColumn(slot, F.lit(high_water).cast("long") + F.row_number().over(W.orderBy(*order)))
+    New rows are numbered by ``order``, a whole number, a range of it at a time."""
+    numbered = positions(new.withColumn("_o", F.col(order).cast("long")), "_o", name="_p").withColumn(slot, F.col("_p") + 1 + F.lit(high_water))
     return records.unionByName(numbered.select(*records.columns))
 
 
@@ -55,7 +55,7 @@ def exclusive(left: DataFrame, right: DataFrame) -> DataFrame:
 def _insert(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     new = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_acctbal").alias("o_totalprice"))
-    return insert(orders, new, "o_orderkey", orders.agg(F.max("o_orderkey")).first()[0] or 0, ["o_custkey"])
+    return insert(orders, new, "o_orderkey", orders.agg(F.max("o_orderkey")).first()[0] or 0, "o_custkey")
 
 
 @query(

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from ..registry import query, table
 
 
-def decide(observations: DataFrame, margin: float = 0.1, cost_weight: float = 1.0) -> DataFrame:
+def decide(observations: DataFrame, margin: float = 0.1, cost_weight: float = 1.5) -> DataFrame:
     """Rows (.., sequence, last_switch, cooldown, drifted, benefit, cost) to a decision: cooling down, then no drift, then whether the
-    benefit is above cost_weight * cost * (1 + margin)."""
+    benefit is above cost_weight * cost * (1 + margin). An unknown drift holds nothing back."""
     needed = cost_weight * F.col("cost") * (1 + margin)
     return observations.withColumn(
         "decision",
-        F.when(F.col("sequence") <= F.col("last_switch") + F.col("cooldown"), "COOLDOWN").when(~F.col("drifted"), "KEEP").when(F.col("benefit") > needed, "ADAPT").otherwise("NOT_WORTH"),
+        F.when(F.col("sequence") <= F.col("last_switch") + F.col("cooldown"), "COOLDOWN").when(~F.col("drifted"), "KEEP").when((F.col("benefit") > needed) & (F.col("benefit") > 0), "ADAPT").otherwise("NOT_WORTH"),
     )
 
 
@@ -25,42 +25,48 @@ def never_switch(costs: DataFrame, start: str) -> DataFrame:
     return costs.where(F.col("design") == start).groupBy("scenario").agg(F.round(F.sum(F.col("queries") * F.col("per_query")), 6).alias("total"))
 
 
-def _policies(pdf: pd.DataFrame, start: str, switch: float) -> dict[str, float]:
-    phases = [g.set_index("design") for _, g in pdf.sort_values(["phase", "design"]).groupby("phase")]
-    spent = [p["queries"] * p["per_query"] for p in phases]
-    totals = {"NEVER": sum(float(s[start]) for s in spent)}
-    now, total = start, 0.0
-    for s in spent:  # the best design of each phase, whatever it costs to get there
-        best = min(s.index, key=lambda d: (s[d], d))
-        total += float(s[best]) + (switch if best != now else 0.0)
-        now = best
-    totals["IMMEDIATE"] = total
-    now, total = start, 0.0
-    for s in spent:  # only if the phase saves more than the switch costs
-        best = min(s.index, key=lambda d: (s[d], d))
-        if best != now and float(s[now] - s[best]) > switch:
-            now, total = best, total + switch
-        total += float(s[now])
-    totals["TRANSITION_AWARE"] = total
-    reach = {d: (0.0 if d == start else switch) for d in spent[0].index}
-    for k, s in enumerate(spent):  # dynamic programme over the design in use
-        if k:
-            reach = {d: min(c + (switch if e != d else 0.0) for e, c in reach.items()) for d in s.index}
-        reach = {d: c + float(s[d]) for d, c in reach.items()}
-    totals["OFFLINE_ORACLE"] = min(reach.values())
-    return totals
-
-
-def policy_costs(costs: DataFrame, start: str, switch: float) -> DataFrame:
-    """Total cost and regret against the oracle of each policy, a scenario at a time: each decision depends on the one before, a
-    scenario has few phases, and scenarios run side by side."""
+def _policies(phases: list[tuple[int, dict[str, float]]], start: str, costs: dict[tuple[str, str], float], weight: float, margin: float, cooldown: int) -> dict[str, tuple[float, list[str]]]:
+    """Total cost and path of each policy over phases (queries, cost a query of each design)."""
+
+    def move(a: str, b: str) -> float:
+        return 0.0 if a == b else costs[a, b]
+
+    def total(path: list[str]) -> float:
+        return sum(n * per[d] for (n, per), d in zip(phases, path)) + sum(move(a, b) for a, b in zip([start, *path], path))
+
+    cheapest = [min(per, key=lambda d: (per[d], d)) for _, per in phases]
+    now, last, careful = start, None, []
+    for k, ((n, per), target) in enumerate(zip(phases, cheapest)):
+        gain = max(0.0, n * per[now] - n * per[target])
+        if target != now and (last is None or k > last + cooldown) and gain > weight * move(now, target) * (1 + margin):
+            now, last = target, k
+        careful.append(now)
+    reach = {start: (0.0, [])}
+    for n, per in phases:  # dynamic programme over the design in use; of equal costs the path that comes first
+        reach = {d: min((c + move(e, d) + n * per[d], [*path, d]) for e, (c, path) in reach.items()) for d in sorted(per)}
+    paths = {"NEVER": [start] * len(phases), "IMMEDIATE": cheapest, "TRANSITION_AWARE": careful, "OFFLINE_ORACLE": min(reach.values())[1]}
+    return {name: (total(path), path) for name, path in paths.items()}
+
+
+def policy_costs(
+    costs: DataFrame, start: str, switch: float | dict[tuple[str, str], float], cost_weight: float = 1.5, margin: float = 0.1, cooldown: int = 0
+) -> DataFrame:
+    """Total cost, regret against the oracle, switches and path of each policy, a scenario at a time: each decision depends on the one before, a
+    scenario has few phases, and scenarios run side by side.
+
+    ``switch`` is one cost, or a cost for each pair of designs; a pair that is needed and missing raises. TRANSITION_AWARE moves to a phase's cheapest
+    design if that saves more than cost_weight * cost * (1 + margin), and not within ``cooldown`` phases of its last move."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        totals = _policies(pdf, start, switch)
-        rows = [(pdf["scenario"].iloc[0], p, round(t, 6), round(t - totals["OFFLINE_ORACLE"], 6)) for p, t in totals.items()]
-        return pd.DataFrame(rows, columns=["scenario", "policy", "total", "regret"])
+        phases = [(int(g["queries"].iloc[0]), dict(zip(g["design"], g["per_query"].astype(float)))) for _, g in pdf.sort_values(["phase", "design"]).groupby("phase")]
+        designs = {d for _, per in phases for d in per}
+        pairs = switch if isinstance(switch, dict) else {(a, b): float(switch) for a in designs for b in designs}
+        found = _policies(phases, start, pairs, cost_weight, margin, cooldown)
+        best = found["OFFLINE_ORACLE"][0]
+        rows = [(pdf["scenario"].iloc[0], p, round(t, 6), round(t - best, 6), sum(a != b for a, b in zip([start, *path], path)), ">".join(path)) for p, (t, path) in found.items()]
+        return pd.DataFrame(rows, columns=["scenario", "policy", "total", "regret", "switches", "path"])
 
-    return costs.groupBy("scenario").applyInPandas(run, "scenario string, policy string, total double, regret double")
+    return costs.groupBy("scenario").applyInPandas(run, "scenario string, policy string, total double, regret double, switches int, path string")
 
 
 def fence(mutations: DataFrame, resource: str, order: str, counter: str, digest: str) -> DataFrame:
@@ -124,7 +130,7 @@ def _policy(spark, sf_dir):
 @query(
     "adaptation_decision",
     f"""WITH {_COSTS}, g AS (SELECT scenario, phase, min(queries * per_query) AS best, max(queries * per_query) AS worst, row_number() OVER (PARTITION BY scenario ORDER BY phase) AS n FROM c GROUP BY 1, 2)
-SELECT scenario, phase, CASE WHEN n <= 2 THEN 'COOLDOWN' WHEN NOT (worst - best) / worst >= 0.2 THEN 'KEEP' WHEN worst - best > best * 0.3 * 1.1 THEN 'ADAPT' ELSE 'NOT_WORTH' END AS decision FROM g""",
+SELECT scenario, phase, CASE WHEN n <= 2 THEN 'COOLDOWN' WHEN NOT (worst - best) / worst >= 0.2 THEN 'KEEP' WHEN worst - best > best * 0.3 * 1.5 * 1.1 THEN 'ADAPT' ELSE 'NOT_WORTH' END AS decision FROM g""",
 )
 def _decide(spark, sf_dir):
     spent = F.col("queries") * F.col("per_query")

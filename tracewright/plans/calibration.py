@@ -6,33 +6,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.ordered import quantiles, same, with_median
 from ..registry import query, table
 
 SCOPE = ("primitive", "operation", "implementation", "distribution")
 
 
 def best_match(wanted: DataFrame, measured: DataFrame, scope: tuple[str, ...] = SCOPE) -> DataFrame:
-    """The best measurement of each wanted scope, nulls equal: most repetitions, then least deviation (unknown last), then least time."""
-    m = measured.select(*[F.col(c).alias(f"_{c}") for c in scope], F.struct("repetitions", "stdev_ns", "ns_per_op").alias("_m"))
-    same = F.lit(True)
-    for c in scope:
-        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
-    order = W.partitionBy(*scope).orderBy(F.col("_m.repetitions").desc(), F.col("_m.stdev_ns").asc_nulls_last(), F.col("_m.ns_per_op"))
-    met = wanted.select(*scope).distinct().join(m, same, "left").withColumn("_r", F.row_number().over(order)).where("_r = 1")
+    """The best measurement of each wanted scope, nulls equal: most repetitions, then least deviation (unknown last), then least time. The best of
+    each scope is found before the join."""
+    rank = F.struct(-F.col("repetitions"), F.col("stdev_ns").isNull(), "stdev_ns", "ns_per_op")
+    best = measured.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(scope)]).agg(F.min_by(F.struct("repetitions", "stdev_ns", "ns_per_op"), rank).alias("_m"))
+    met = wanted.select(*scope).distinct().join(best, same(list(scope)), "left")
     return met.select(*scope, "_m.repetitions", "_m.stdev_ns", "_m.ns_per_op")
 
 
 def coverage(required: DataFrame, measured: DataFrame, max_age: int) -> DataFrame:
     """Status of each required (primitive, operation, distribution, scale): MATCHED, STALE_ONLY, SCALE_MISMATCH,
-    DISTRIBUTION_MISMATCH or MISSING, the first that holds."""
-    m = measured.select("primitive", "operation", F.col("distribution").alias("_d"), F.col("scale").alias("_n"), "age")
-    met = required.join(m, ["primitive", "operation"], "left")
-    same_d, same_n, fresh = F.col("_d") == F.col("distribution"), F.col("_n") == F.col("scale"), F.col("age") <= max_age
-    g = met.groupBy("primitive", "operation", "distribution", "scale").agg(
-        F.count_if(same_d & same_n & fresh).alias("_a"), F.count_if(same_d & same_n).alias("_b"), F.count_if(same_d).alias("_c"), F.count("_d").alias("_e")
-    )
-    status = F.when(F.col("_a") > 0, "MATCHED").when(F.col("_b") > 0, "STALE_ONLY").when(F.col("_c") > 0, "SCALE_MISMATCH").when(F.col("_e") > 0, "DISTRIBUTION_MISMATCH").otherwise("MISSING")
-    return g.select("primitive", "operation", "distribution", "scale", status.alias("status"))
+    DISTRIBUTION_MISMATCH or MISSING, the first that holds. Measurements are counted by cell, distribution and operation before they are joined."""
+    by = ["primitive", "operation", "distribution", "scale"]
+    cells = measured.where("distribution is not null").groupBy(*by).agg(F.max((F.col("age") <= max_age).cast("int")).alias("_fresh"))
+    kinds = cells.select(*by[:3]).distinct().withColumn("_kind", F.lit(1))
+    operations = cells.select(*by[:2]).distinct().withColumn("_operation", F.lit(1))
+    met = required.select(*by).distinct().join(cells, by, "left").join(kinds, by[:3], "left").join(operations, by[:2], "left")
+    status = F.when(F.col("_fresh") == 1, "MATCHED").when(F.col("_fresh") == 0, "STALE_ONLY").when(F.col("_kind") == 1, "SCALE_MISMATCH").when(F.col("_operation") == 1, "DISTRIBUTION_MISMATCH").otherwise("MISSING")
+    return met.select(*by, status.alias("status"))
+
+
+def coverage_ratio(statuses: DataFrame) -> DataFrame:
+    """One row: how many required cells there are, how many are matched, and their share."""
+    return statuses.agg(F.count("*").alias("required"), F.count_if(F.col("status") == "MATCHED").alias("matched")).withColumn("ratio", F.round(F.try_divide("matched", "required"), 8))
 
 
 def interpolation_errors(surface: DataFrame, by: list[str], scale: str, value: str) -> DataFrame:
@@ -56,13 +59,15 @@ def surface_metrics(errors: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def sweep(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Median and extremes of repeated timings."""
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.median(value), 6).alias("median"), F.min(value).alias("min"), F.max(value).alias("max"))
+    basic = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"))
+    return with_median(basic, rows, by, value).withColumn("median", F.round("median", 6))
 
 
 def crossover(rows: DataFrame, scale: list[str], side: str, sides: tuple[str, str], value: str) -> DataFrame:
     """Ratio of two representations' medians at each scale, the winner and its advantage in percent."""
     a, b = sides
-    wide = rows.groupBy(*scale).pivot(side, [a, b]).agg(F.median(value)).dropna(subset=[a, b])
+    medians = quantiles(rows.where(F.col(side).isin(a, b)), [*scale, side], value, {"_m": 0.5})
+    wide = medians.groupBy(*scale).pivot(side, [a, b]).agg(F.max("_m")).dropna(subset=[a, b])
     ratio = F.col(a) / F.col(b)
     return wide.select(
         *scale, F.round(ratio, 8).alias("ratio"), F.when(F.col(a) < F.col(b), a).when(F.col(b) < F.col(a), b).otherwise("tie").alias("winner"),
@@ -131,7 +136,7 @@ def _best(spark, sf_dir):
 
 @query(
     "calibration_coverage",
-    f"""WITH {_MEASURED}, k AS (SELECT p_brand AS primitive, p_type AS operation, CASE p_size % 2 WHEN 0 THEN 'uniform' ELSE 'zipf' END AS d, p_size AS n, p_partkey % 10 AS age FROM part WHERE p_size <= 20),
+    f"""WITH {_MEASURED}, k AS (SELECT p_brand AS primitive, p_type AS operation, CASE p_size % 2 WHEN 0 THEN 'uniform' ELSE 'zipf' END AS d, p_size AS n, p_partkey % 10 AS age FROM part),
 r AS (SELECT * FROM (SELECT DISTINCT p_brand AS primitive FROM part), (SELECT DISTINCT p_type AS operation FROM part), (VALUES ('uniform'), ('zipf'), ('hotspot')) x(distribution), (VALUES (4), (9), (30)) y(scale)),
 g AS (SELECT r.primitive, r.operation, distribution, scale, count(*) FILTER (d = distribution AND n = scale AND age <= 4) AS a, count(*) FILTER (d = distribution AND n = scale) AS b, count(*) FILTER (d = distribution) AS c, count(d) AS e FROM r LEFT JOIN k USING (primitive, operation) GROUP BY ALL)
 SELECT primitive, operation, distribution, scale, CASE WHEN a > 0 THEN 'MATCHED' WHEN b > 0 THEN 'STALE_ONLY' WHEN c > 0 THEN 'SCALE_MISMATCH' WHEN e > 0 THEN 'DISTRIBUTION_MISMATCH' ELSE 'MISSING' END AS status FROM g""",
@@ -140,7 +145,17 @@ def _coverage(spark, sf_dir):
     m = _measured(spark, sf_dir)
     axes = spark.createDataFrame([(d, n) for d in ("uniform", "zipf", "hotspot") for n in (4, 9, 30)], "distribution string, scale int")
     required = m.select("primitive").distinct().crossJoin(m.select("operation").distinct()).crossJoin(F.broadcast(axes))  # 25 brands, 6 types, 9 cells
-    return coverage(required, m.where("scale <= 20"), 4)
+    return coverage(required, m, 4)
+
+
+@query(
+    "calibration_coverage_ratio",
+    f"""WITH {_MEASURED}, r AS (SELECT * FROM (SELECT DISTINCT p_brand AS primitive FROM part), (SELECT DISTINCT p_type AS operation FROM part), (VALUES ('uniform'), ('zipf'), ('hotspot')) x(distribution), (VALUES (4), (9), (30)) y(scale)),
+k AS (SELECT DISTINCT p_brand AS primitive, p_type AS operation, CASE p_size % 2 WHEN 0 THEN 'uniform' ELSE 'zipf' END AS distribution, p_size AS scale FROM part WHERE p_partkey % 10 <= 4)
+SELECT count(*) AS required, count(k.scale) AS matched, round(count(k.scale) / count(*), 8) AS ratio FROM r LEFT JOIN k USING (primitive, operation, distribution, scale)""",
+)
+def _coverage_ratio(spark, sf_dir):
+    return coverage_ratio(_coverage(spark, sf_dir))
 
 
 _SWEEP = "s AS (SELECT l_linestatus AS side, l_quantity AS scale, l_linenumber AS op, l_extendedprice AS ns FROM lineitem)"
@@ -165,13 +180,17 @@ def _crossover(spark, sf_dir):
 
 @query(
     "stable_threshold",
-    f"""WITH {_CROSS}, g AS (SELECT scale % 3 AS family, scale, median(ratio) AS m, min(ratio) AS w FROM x GROUP BY 1, 2), i AS (SELECT *, m <= 1.02 AND w <= 1 AS good, sum(CASE WHEN m <= 1.02 AND w <= 1 THEN 0 ELSE 1 END) OVER (PARTITION BY family ORDER BY scale) AS i FROM g),
+    """WITH d AS (SELECT l_quantity AS scale, l_linenumber AS op, median(30000 + 1000 * l_tax) / median(l_extendedprice) AS ratio FROM lineitem GROUP BY 1, 2), g AS (SELECT scale % 3 AS family, scale, median(round(ratio, 8)) AS m, max(round(ratio, 8)) AS w FROM d GROUP BY 1, 2),
+i AS (SELECT *, m <= 0.95 AND w <= 1 AS good, sum(CASE WHEN m <= 0.95 AND w <= 1 THEN 0 ELSE 1 END) OVER (PARTITION BY family ORDER BY scale) AS i FROM g),
 r AS (SELECT family, i, min(scale) AS first FROM i WHERE good GROUP BY 1, 2 HAVING count(*) >= 3) SELECT f.family, min(first) AS threshold FROM (SELECT DISTINCT family FROM g) f LEFT JOIN r USING (family) GROUP BY 1""",
 )
 def _threshold(spark, sf_dir):
-    x = crossover(_sweep(spark, sf_dir), ["scale", "op"], "side", ("F", "O"), "ns")
-    g = x.groupBy((F.col("scale") % 3).alias("family"), "scale").agg(F.median("ratio").alias("median_ratio"), F.min("ratio").alias("worst_ratio"))
-    return stable_threshold(g, ["family"], "scale", 3, -0.02)
+    """A representation whose time hardly depends on the scale against one whose time grows with it."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("scale"), F.col("l_linenumber").alias("op"), "l_tax", F.col("l_extendedprice").alias("growing"))
+    both = lines.select("scale", "op", F.explode(F.array(F.struct(F.lit("D").alias("side"), (30000 + 1000 * F.col("l_tax")).alias("ns")), F.struct(F.lit("S").alias("side"), F.col("growing").alias("ns")))).alias("x")).select("scale", "op", "x.side", "x.ns")
+    x = crossover(both, ["scale", "op"], "side", ("D", "S"), "ns").withColumn("family", F.col("scale") % 3)
+    worst = x.groupBy("family", "scale").agg(F.max("ratio").alias("worst_ratio"))
+    return stable_threshold(with_median(worst, x, ["family", "scale"], "ratio", "median_ratio"), ["family"], "scale", 3, 0.05)
 
 
 @query("checksum_agreement", "SELECT l_orderkey, count(DISTINCT l_returnflag) = 1 AS agrees, count(*) AS n FROM lineitem GROUP BY 1")

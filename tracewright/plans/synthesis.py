@@ -49,7 +49,7 @@ class Workload:
     max_latency_us: float | None = None
     max_build_ms: float | None = None
     update_rate: float = 0.0
-    weights: dict[str, float] = field(default_factory=lambda: {"latency": 1.0, "memory": 0.15, "update": 0.1, "build": 0.05})
+    weights: dict[str, float] = field(default_factory=lambda: {"latency": 1.0, "memory": 0.15, "update": 0.2, "build": 0.05})
 
     def __post_init__(self) -> None:
         if not 1 <= self.record_count <= 10**9 or not 1 <= len(self.fields) <= 64 or not 1 <= len(self.queries) <= 32:
@@ -118,7 +118,7 @@ def _prefix_cost(workload: Workload) -> list[Column]:
     return [F.col("weighted_us") / F.col("weight") + over, F.col("memory_mb"), F.array_join("choice", "|")]
 
 
-def enumerate_candidates(spark: SparkSession, workload: Workload, choices: DataFrame, strategy: str = "auto") -> DataFrame:
+def enumerate_candidates(spark: SparkSession, workload: Workload, choices: DataFrame, strategy: str = "auto", beam: int = BEAM) -> DataFrame:
     """Combinations of one option a query. ``exhaustive`` joins them all; ``beam`` and ``greedy`` keep the best prefixes of each of
     the at most 32 steps; ``auto`` is exhaustive up to 4,096 combinations."""
     per = {r.query_index: r["count"] for r in choices.groupBy("query_index").count().collect()}
@@ -126,7 +126,7 @@ def enumerate_candidates(spark: SparkSession, workload: Workload, choices: DataF
         return spark.createDataFrame([], "choice array<string>, weighted_us double, weight double, memory_mb double, build_ms double, update_us double, uncertainty double, sources array<string>")
     if strategy == "auto":
         strategy = "exhaustive" if math.prod(per.values()) <= EXHAUSTIVE_LIMIT else "beam"
-    width = {"exhaustive": None, "beam": BEAM, "greedy": 1}[strategy]
+    width = {"exhaustive": None, "beam": beam, "greedy": 1}[strategy]
     n = workload.record_count
     serves = ~F.col("kind").isin(*MUTATIONS)
     step = choices.select(
@@ -188,11 +188,18 @@ def ambiguous(ranked: DataFrame) -> DataFrame:
     return ranked.where("feasible").crossJoin(F.broadcast(winner)).select("candidate_id", "score", F.round(low, 9).alias("lower"), F.round(F.col("score") * (1 + F.col("uncertainty")), 9).alias("upper"), (low <= F.col("_upper")).alias("ambiguous"))  # one row
 
 
-def measurement_targets(ranked: DataFrame, top: int = 12) -> DataFrame:
-    """What to measure first: the assignments of ambiguous candidates, by how many of them they decide."""
+def measurement_targets(ranked: DataFrame, queries: DataFrame, top: int = 12) -> DataFrame:
+    """What to measure first: each (primitive, operation) of the ambiguous candidates by the largest uncertainty / (1 + gap to the winner's score), and
+    0.25 more where a cost is a prior; with the number of candidates that it decides."""
     open_ = ambiguous(ranked).where("ambiguous").select("candidate_id")
-    parts = ranked.join(open_, "candidate_id", "left_semi").select(F.explode(F.split("choice", r"\|")).alias("a"), "uncertainty")
-    return parts.groupBy(F.split_part("a", F.lit(":"), F.lit(2)).alias("primitive"), F.split_part("a", F.lit(":"), F.lit(1)).cast("int").alias("query_index")).agg(F.round(F.sum("uncertainty"), 4).alias("priority")).orderBy(F.desc("priority"), "primitive", "query_index").limit(top)
+    winner = ranked.where("feasible").orderBy("score", "memory_mb", "candidate_id").limit(1).select(F.col("score").alias("_w"))
+    met = ranked.join(open_, "candidate_id", "left_semi").crossJoin(F.broadcast(winner))  # one row
+    close = F.col("uncertainty") / (1 + F.greatest(F.lit(0.0), F.col("score") - F.col("_w")))
+    parts = met.select("candidate_id", close.alias("_c"), (F.col("evidence") != "calibrated").alias("_p"), F.explode(F.split("choice", r"\|")).alias("a"))
+    placed = parts.select("*", F.split_part("a", F.lit(":"), F.lit(1)).cast("int").alias("query_index"), F.split_part("a", F.lit(":"), F.lit(2)).alias("primitive"))
+    named = placed.join(F.broadcast(queries.select("query_index", F.col("kind").alias("operation"))), "query_index")  # 32 rows at most
+    priority = F.max("_c") + F.when(F.max("_p"), 0.25).otherwise(0.0)
+    return named.groupBy("primitive", "operation").agg(F.countDistinct("candidate_id").alias("candidates"), F.round(priority, 6).alias("priority")).orderBy(F.desc("priority"), "primitive", "operation").limit(top)
 
 
 def measured_choice(candidates: DataFrame, measured: DataFrame) -> DataFrame:
@@ -246,7 +253,7 @@ o AS (SELECT i, primitive, kind, field, weight::DOUBLE AS weight, size::DOUBLE *
 _RANKED = f"""{_OPTIONS}, x AS (SELECT '0:' || a.primitive || '|1:' || b.primitive || '|2:' || d.primitive || '|3:' || e.primitive AS choice, (a.us * a.weight + b.us * b.weight + d.us * d.weight + e.us * e.weight) / (a.weight + b.weight + d.weight + e.weight) AS lat,
  a.mem + b.mem + d.mem + e.mem AS mem, a.upd + b.upd + d.upd + e.upd AS upd, a.bld + b.bld + d.bld + e.bld AS bld FROM o a, o b, o d, o e WHERE a.i = 0 AND b.i = 1 AND d.i = 2 AND e.i = 3),
 r AS (SELECT substr(sha256(choice), 1, 12) AS candidate_id, choice, round(lat, 6) AS latency_us, round(mem, 6) AS memory_mb, round(upd, 6) AS update_us, round(bld, 6) AS build_ms,
- round(lat + 0.15 * mem + 0.1 * upd * log10(10) + 0.05 * bld / greatest(1, bld), 9) AS score, 0.5::DOUBLE AS uncertainty, mem <= 1 AS feasible, CASE WHEN mem > 1 THEN 'memory_mb > 1.0' ELSE '' END AS rejections, 'prior' AS evidence FROM x)"""
+ round(lat + 0.15 * mem + 0.2 * upd * log10(10) + 0.05 * bld / greatest(1, bld), 9) AS score, 0.5::DOUBLE AS uncertainty, mem <= 1 AS feasible, CASE WHEN mem > 1 THEN 'memory_mb > 1.0' ELSE '' END AS rejections, 'prior' AS evidence FROM x)"""
 
 
 def _ranked(spark) -> DataFrame:
@@ -273,10 +280,18 @@ def _pareto_query(spark, sf_dir):
     return pareto(_ranked(spark))
 
 
-@query("synthesis_beam", f"WITH {_RANKED} FROM r")
+_STEP = "SELECT {0}choice || '|{1}:' || primitive AS choice, s.lat + us * weight AS lat, s.w + weight AS w, s.mem + o.mem AS mem, s.upd + o.upd AS upd, s.bld + o.bld AS bld FROM s{2} s, o WHERE i = {1} ORDER BY (s.lat + us * weight) / (s.w + weight) + CASE WHEN s.mem + o.mem > 1 THEN 1e6 ELSE 0 END, s.mem + o.mem, 1 LIMIT 3"
+_BEAM = f"{_OPTIONS}, s0 AS (SELECT '0:' || primitive AS choice, us * weight AS lat, weight AS w, mem, upd, bld FROM o WHERE i = 0 ORDER BY us + CASE WHEN mem > 1 THEN 1e6 ELSE 0 END, mem, 1 LIMIT 3), " + ", ".join(f"s{i} AS ({_STEP.format('s.', i, i - 1)})" for i in (1, 2, 3))
+
+
+@query(
+    "synthesis_beam",
+    f"""WITH {_BEAM} SELECT substr(sha256(choice), 1, 12) AS candidate_id, choice, round(lat / w, 6) AS latency_us, round(mem, 6) AS memory_mb, round(upd, 6) AS update_us, round(bld, 6) AS build_ms,
+ round(lat / w + 0.15 * mem + 0.2 * upd * log10(10) + 0.05 * bld / greatest(1, bld), 9) AS score, 0.5::DOUBLE AS uncertainty, mem <= 1 AS feasible, CASE WHEN mem > 1 THEN 'memory_mb > 1.0' ELSE '' END AS rejections, 'prior' AS evidence FROM s3""",
+)
 def _beam_query(spark, sf_dir):
-    w = commerce()  # fewer combinations than the beam is wide, so nothing is lost
-    return rank(w, enumerate_candidates(spark, w, options(spark, w), "beam"))
+    w = commerce()  # 8 combinations, of which a beam of 3 keeps 3
+    return rank(w, enumerate_candidates(spark, w, options(spark, w), "beam", 3))
 
 
 @query("synthesis_greedy", f"WITH {_RANKED} SELECT r.* FROM r ORDER BY latency_us, memory_mb, choice LIMIT 1")
@@ -293,9 +308,13 @@ def _intervals_query(spark, sf_dir):
     return ambiguous(_ranked(spark))
 
 
-@query("measurement_targets", f"WITH {_RANKED}, f AS (FROM r WHERE feasible), w AS (SELECT score * 1.5 AS u FROM f ORDER BY score, memory_mb, candidate_id LIMIT 1), p AS (SELECT unnest(string_split(choice, '|')) AS a FROM f, w WHERE score * 0.5 <= u) SELECT split_part(a, ':', 2) AS primitive, split_part(a, ':', 1)::INT AS query_index, round(count(*) * 0.5::DOUBLE, 4) AS priority FROM p GROUP BY a")
+@query(
+    "measurement_targets",
+    f"""WITH {_RANKED}, f AS (FROM r WHERE feasible), w AS (SELECT score AS s, score * 1.5 AS u FROM f ORDER BY score, memory_mb, candidate_id LIMIT 1), p AS (SELECT candidate_id, 0.5 / (1 + greatest(0, score - s)) AS c, unnest(string_split(choice, '|')) AS a FROM f, w WHERE score * 0.5 <= u)
+SELECT split_part(a, ':', 2) AS primitive, q.kind AS operation, count(DISTINCT candidate_id) AS candidates, round((max(c) + 0.25)::DOUBLE, 6) AS priority FROM p JOIN q ON q.i = split_part(a, ':', 1)::INT GROUP BY 1, 2 ORDER BY priority DESC, primitive, operation LIMIT 12""",
+)
 def _targets_query(spark, sf_dir):
-    return measurement_targets(_ranked(spark))
+    return measurement_targets(_ranked(spark), query_rows(spark, commerce()))
 
 
 @query("workload_fingerprint", f"WITH q(i, kind, field, weight, s, p) AS (VALUES {_QUERIES}), e AS (SELECT i, 'kind' AS part, kind AS item, weight FROM q UNION ALL SELECT i, 'distribution', 'uniform', weight FROM q UNION ALL SELECT i, 'field', field, weight FROM q), g AS (SELECT part, item, sum(weight)::DOUBLE AS w, min(i) AS f FROM e GROUP BY 1, 2) SELECT part, item, round(w / (SELECT sum(weight) FROM q), 8) AS share, row_number() OVER (PARTITION BY part ORDER BY w DESC, f) = 1 AS dominant FROM g")
