@@ -45,6 +45,7 @@ PERIOD = 1 << 20  # slots of the longest period that is a frame by itself
 SCAN = 1 << 20  # numbers in work at once
 BUCKET_BLOCKS = 64  # blocks of a bucket, about
 MAX_BUCKETS = 1 << 16  # of a source; beyond, its buckets grow
+MAX_BROADCAST = 1_000_000  # sources; beyond, they are joined by their names
 ADDED = ("block", "slot", "release", "deadline", "phase", "mix_order")
 WEIGHTS: dict[str, float] = {"src0": 4.0, "src1": 2.0, "src2": 2.0}
 
@@ -212,6 +213,8 @@ def mix(docs: DataFrame, weights: dict | None = None, rest: float = 1.0, source:
     blocks, own = plan(docs, weights, rest, source, text, block_chars)
     placed = materialize(schedule(spark, blocks, own, frame), "schedule")
     buckets = spark.createDataFrame([(s, n, min(MAX_BUCKETS, n // BUCKET_BLOCKS + 1)) for s, n in blocks.items()], "_s string, _blocks long, _buckets long")
+    if len(blocks) <= MAX_BROADCAST:  # else a hot source's rows would meet its one row in one task
+        buckets = F.broadcast(buckets)
     names = [c for c in docs.columns if c not in ADDED]
     own_columns = [F.col(c).alias(f"_c{i}") for i, c in enumerate(names)]  # apart, so that unused ones are pruned
     row = F.xxhash64(F.monotonically_increasing_id(), F.lit(3))
