@@ -256,6 +256,17 @@ def test_trace_intake(spark, tmp_path, text, format, keys):
     assert [r.key for r in good.orderBy("pos").collect()] == keys and bad.count() == 0
 
 
+def test_several_files_are_one_trace(spark, tmp_path):
+    parts = {"text": ["1 2 3\n", "4\n\n5 6"], "csv": ["key,x\n7,1\n8,1\n", "key,x\n\n9,1\n"], "json": ["[1, 2]", "[3, 4]"]}
+    for format, texts in parts.items():
+        (tmp_path / format).mkdir()
+        for i, text in enumerate(texts):
+            (tmp_path / format / f"part{i}").write_text(text)
+        good, bad = intake.read_trace(spark, str(tmp_path / format))
+        keys = {"text": [1, 2, 3, 4, 5, 6], "csv": [7, 8, 9], "json": [1, 2, 3, 4]}[format]
+        assert [(r.pos, r.key) for r in good.orderBy("pos").collect()] == list(enumerate(keys)) and bad.count() == 0
+
+
 def test_trace_intake_refuses(spark, tmp_path):
     for name, text in (("a", "1 2 x 3"), ("b", "id,item_id\n1,2\n3,4\n"), ("c", '[1, {"key": 2}]'), ("d", "5"), ("e", "9007199254740993 1")):
         (tmp_path / name).write_text(text)

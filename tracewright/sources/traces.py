@@ -1,7 +1,8 @@
 """Access traces from text, CSV and JSON: one column of integer keys in file order, bad rows told apart rather than guessed at.
 
-Files are read by Spark's readers, whole text where order matters, so any store that Spark reads will do. Only the first file's
-head and a handful of flags come to the driver, to settle format, separator and key column.
+Files are read by Spark's readers, text and CSV in splits, JSON a file at a time (a JSON file is one value), so any store that Spark reads will do.
+Several files follow one another by name. Only the first file's head and a handful of flags come to the driver, to settle format, separator and key
+column.
 """
 
 from __future__ import annotations
@@ -19,8 +20,12 @@ MAX_KEY = (1 << 53) - 1
 
 
 def _head(spark: SparkSession, path: str) -> str:
-    row = spark.read.text(path, wholetext=True).select(F.substring("value", 1, HEAD)).first()
-    return row[0] if row else ""
+    """The beginning of the first file."""
+    files = sorted(spark.read.text(path).inputFiles())
+    if not files:
+        return ""
+    lines = spark.read.text(files[0]).where("_metadata.file_block_start = 0").select(F.substring("value", 1, HEAD)).limit(100).collect()
+    return "\n".join(r[0] for r in lines)[:HEAD]
 
 
 def detect_format(head: str) -> str:
@@ -46,10 +51,26 @@ def _numbered(raw: DataFrame) -> DataFrame:
     return raw.select("pos", integer_key(F.col("raw")).alias("key"), "raw")
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (line, _f, _s, _i): lines of all files; file, split and place tell their order."""
+    meta = [F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_s"), F.monotonically_increasing_id().alias("_i")]
+    return spark.read.text(path).select(F.col("value").alias("line"), *meta)
+
+
+def _placed(rows: DataFrame, amount: Column) -> DataFrame:
+    """Add _at: the units before each row, file after file by name. They are counted a split at a time, so no task reads more than a split."""
+    counted = rows.withColumn("_n", amount.cast("long"))
+    sums = counted.groupBy("_f", "_s").agg(F.sum("_n").alias("_t"))
+    before = F.coalesce(F.sum("_t").over(W.orderBy("_f", "_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a split
+    within = F.coalesce(F.sum("_n").over(W.partitionBy("_f", "_s").orderBy("_i").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return counted.join(sums.select("_f", "_s", before.alias("_b")), ["_f", "_s"]).withColumn("_at", F.col("_b") + within)
+
+
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """Tokens between white space, commas and semicolons. A trace file is one text, as its order is the data."""
-    tokens = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", r"[\s,;]+"), lambda x: x != "")).alias("pos", "raw"))
-    return _numbered(tokens.withColumn("pos", F.col("pos").cast("long")))
+    """Tokens between white space, commas and semicolons."""
+    tokens = _lines(spark, path).withColumn("_t", F.filter(F.split("line", r"[\s,;]+"), lambda x: x != ""))
+    each = _placed(tokens, F.size("_t")).select("_at", F.posexplode("_t").alias("_k", "raw"))
+    return _numbered(each.withColumn("pos", F.col("_at") + F.col("_k")))
 
 
 def read_csv(spark: SparkSession, path: str, key_field: str | None = None) -> DataFrame:
@@ -66,18 +87,23 @@ def read_csv(spark: SparkSession, path: str, key_field: str | None = None) -> Da
     if name is None:
         raise ValueError("the key column is ambiguous" if known else "no key column")
     header = not re.fullmatch(r"[+-]?\d+", names[names.index(name)])
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")).alias("pos", "line"))
+    rows = _lines(spark, path).where(F.trim(F.regexp_replace("line", r"\r$", "")) != "")
+    if header:  # of each file
+        first = rows.groupBy("_f").agg(F.min(F.struct("_s", "_i")).alias("_h")).select("_f", "_h._s", "_h._i")
+        rows = rows.join(first, ["_f", "_s", "_i"], "left_anti")
     schema = ", ".join(f"_{i} string" for i in range(len(names)))
-    cells = rows.where(F.col("pos") >= int(header)).select((F.col("pos") - int(header)).cast("long").alias("pos"), F.from_csv("line", schema, {"sep": sep})[f"_{names.index(name)}"].alias("raw"))
-    return _numbered(cells)
+    cell = F.from_csv(F.regexp_replace("line", r"\r$", ""), schema, {"sep": sep})[f"_{names.index(name)}"]
+    return _numbered(_placed(rows, F.lit(1)).select(F.col("_at").alias("pos"), cell.alias("raw")))
 
 
 def read_json(spark: SparkSession, path: str, key_field: str | None = None) -> DataFrame:
     """An array, or an object that holds one under keys, events or records; scalars, or objects with a (dotted) key path. Repeated object
     keys raise."""
-    whole = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
+    whole = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"), F.col("_metadata.file_path").alias("_f"))
     array = F.coalesce(*[F.try_variant_get("v", p, "array<variant>") for p in ("$", "$.keys", "$.events", "$.records")])
-    items = whole.select(F.posexplode(array).alias("pos", "item")).withColumn("pos", F.col("pos").cast("long"))
+    before = F.coalesce(F.sum(F.size(array)).over(W.orderBy("_f").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a file
+    starts = whole.select("_f", before.alias("_b"))
+    items = whole.select("_f", F.posexplode(array).alias("_k", "item")).join(starts, "_f").select((F.col("_b") + F.col("_k")).cast("long").alias("pos"), "item")
     kinds = {r[0] for r in items.select(F.when(F.schema_of_variant("item").startswith("OBJECT"), "object").otherwise("scalar").alias("k")).distinct().limit(2).collect()}
     if len(kinds) != 1:
         raise ValueError("an empty trace, or scalars and objects mixed")
