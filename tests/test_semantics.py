@@ -15,7 +15,7 @@ from tracewright.functions import statistics as stats
 from tracewright.functions import traces
 from tracewright.operators import access, bitmaps, graph, integrity, mutations, ordered
 from tracewright.plans import adaptation, calibration, synthesis
-from tracewright.sources import artifacts
+from tracewright.sources import artifacts, measurements
 from tracewright.sources import traces as intake
 
 
@@ -315,6 +315,11 @@ def test_artifacts_and_samples(spark, tmp_path):
     artifacts.store(spark.createDataFrame([("b",), ("c",)], "content string"), store)
     there = spark.read.parquet(store)
     assert sorted(r.content for r in there.collect()) == ["a", "b", "c"] and artifacts.corrupted(there).count() == 0
+    done = spark.createDataFrame([("done",)], "state string")
+    assert sorted(r.size_bytes for r in artifacts.inventory(there, done).collect()) == [1, 1, 1]
+    for stored, state in ((there, "PENDING"), (there.withColumn("content", F.upper("content")), "done")):
+        with pytest.raises(ValueError):
+            artifacts.inventory(stored, spark.createDataFrame([(state,)], "state string"))
     sample = dict(sample_id="1", condition_id="c", workload_id="w", repetition_index=0, metric="m", value=1.5, measurement_source="s", protocol_id="p", machine_fingerprint="f")
     (tmp_path / "s.jsonl").write_text(json.dumps(sample) + "\n" + json.dumps(sample | {"sample_id": "2"}))
     assert artifacts.read_samples(spark, str(tmp_path / "s.jsonl")).count() == 2
@@ -326,3 +331,49 @@ def test_artifacts_and_samples(spark, tmp_path):
     assert mutations.exclusive(artifacts.read_snapshot(spark, str(tmp_path / "snap"), identity), df).count() == 0
     with pytest.raises(ValueError):
         artifacts.read_snapshot(spark, str(tmp_path / "snap"), "other")
+
+
+SWEEP = [f"{op},{c},5,{seed},1,{10 * seed + c},7" for op in measurements.SWEEP_OPERATIONS for c in (8, 16) for seed in (1, 2, 3)]
+
+
+def sweep_file(path, rows, header="operation,cardinality,repetitions,seed,dense_containers,ns_per_op,result_size"):
+    path.write_text("\n".join([header, *rows]) + "\n")
+    return str(path)
+
+
+def test_sweeps_are_read_and_reduced(spark, tmp_path):
+    rows = measurements.read_sweep(spark, sweep_file(tmp_path / "sweep.csv", SWEEP), samples=3)
+    found = {(r.cardinality, r.operation): (r.n, r.min, r.max, r.median) for r in calibration.sweep(rows, ["cardinality", "operation"], "ns_per_op").collect()}
+    assert found == {(c, op): (3, 10 + c, 30 + c, 20 + c) for c in (8, 16) for op in measurements.SWEEP_OPERATIONS}
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [[], SWEEP[1:], SWEEP + SWEEP[:1], SWEEP[:-1] + ["union,16,5,3,1,-1,7"], SWEEP[:-1] + ["union,16,5,3,1,NaN,7"], SWEEP[:-1] + ["union,16,6,3,1,46,7"], SWEEP[:-1] + ["merge,16,5,3,1,46,7"], SWEEP[:-1] + ["union,16,5,x,1,46,7"], SWEEP[:-1] + ["union,16,5,3"]],
+)
+def test_broken_sweeps_raise(spark, tmp_path, rows):
+    with pytest.raises(ValueError):
+        measurements.read_sweep(spark, sweep_file(tmp_path / "sweep.csv", rows))
+
+
+def test_sweeps_need_their_fields_and_samples(spark, tmp_path):
+    with pytest.raises(ValueError):
+        measurements.read_sweep(spark, sweep_file(tmp_path / "a.csv", SWEEP, "operation,cardinality,repetitions,seed,dense_containers,ns,result_size"))
+    with pytest.raises(ValueError):
+        measurements.read_sweep(spark, sweep_file(tmp_path / "b.csv", SWEEP), samples=4)
+
+
+def test_calibration_profiles(spark, tmp_path):
+    one = {"primitive": "tree", "operation": "point", "ns_per_op": 12.5, "repetitions": 2, "samples_ns": [12.0, 13.0], "access_distribution": {"kind": "zipf", "exponent": 1.1}}
+    two = {"primitive": "tree", "operation": "build", "ns_per_op": 90.0}
+    (tmp_path / "ok").mkdir()
+    (tmp_path / "ok/a.json").write_text(json.dumps({"seed": 7, "n": 100, "measurements": [one, two]}, indent=1))
+    (tmp_path / "ok/b.json").write_text(json.dumps({"profile_id": "p", "measurements": [one | {"ns_per_op": 11.0, "access_distribution": {"exponent": 1.1, "kind": "zipf"}}]}))
+    rows = measurements.read_profiles(spark, str(tmp_path / "ok"))
+    assert sorted((r.profile_id, r.record_count, r.operation, r.repetitions) for r in rows.collect()) == [("p", 0, "point", 2), ("smoke-7-100", 100, "build", 1), ("smoke-7-100", 100, "point", 2)]
+    best = calibration.best_match(rows.where("operation = 'point'"), rows).collect()
+    assert [(r.ns_per_op, json.loads(r.distribution)) for r in best] == [(11.0, {"exponent": "1.1", "kind": "zipf"})]
+    for i, broken in enumerate(([], [two | {"access_distribution": {"kind": "zipf"}}], [one | {"samples_ns": [1.0]}], [two | {"ns_per_op": 0}], [two | {"implementation_id": "a b"}], [two | {"operation": None}])):
+        (tmp_path / f"{i}.json").write_text(json.dumps({"measurements": broken}))
+        with pytest.raises(ValueError):
+            measurements.read_profiles(spark, str(tmp_path / f"{i}.json"))

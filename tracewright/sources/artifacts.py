@@ -31,6 +31,16 @@ def corrupted(stored: DataFrame, content: str = "content") -> DataFrame:
     return stored.where(F.sha2(content, 256) != F.col("sha256")).select("sha256", F.sha2(content, 256).alias("found"))
 
 
+def inventory(stored: DataFrame, claims: DataFrame, content: str = "content") -> DataFrame:
+    """What a backup has to hold: (sha256, size_bytes) of every artifact. Content without its digest raises, and so do open claims
+    (rows with a ``state``), since what they write is not settled."""
+    if corrupted(stored, content).limit(1).count():
+        raise ValueError("an artifact has lost its digest")
+    if claims.where(F.col("state").isin("PENDING", "AMBIGUOUS_FAILURE")).limit(1).count():
+        raise ValueError("claims are open")
+    return stored.select("sha256", F.octet_length(content).cast("long").alias("size_bytes")).distinct()
+
+
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
     """Raw samples, one JSON object a line, with all fields; malformed lines and repeated sample ids raise."""
     rows = spark.read.schema(SAMPLES).option("mode", "FAILFAST").json(path)
